@@ -95,7 +95,7 @@ NOT_TABLES = [
 ]
 
 # --- Fixed values: scripts ---------------------------------------------------------------
-SCRIPT_EXTENSIONS = [".sh", ".py", ".sql", ".jar", ".class", ".scala", ".r", ".pl", ".rb"]
+SCRIPT_EXTENSIONS = [".sh", ".py", ".sql", ".jar", ".class", ".scala", ".R", ".pl", ".rb"]
 SCRIPT_PATH = r"/[\w/.-]+\.(?:sh|py|sql|jar|class|scala|R|pl|rb)"
 SCRIPT_TYPE_BY_EXTENSION = {
     "sh": "shell_script",
