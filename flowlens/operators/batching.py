@@ -94,7 +94,7 @@ def pack(
 
     slim = ordered.select("_block", "_pos", "_scope", "_size")
     reports = slim.groupBy("_block").applyInPandas(report, SUMMARY)
-    entries = reports.groupBy(F.lit(0)).applyInPandas(chain, "_block int, _skip long, _done long")
+    entries = reports.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(chain, "_block int, _skip long, _done long")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")

@@ -191,3 +191,36 @@ def ddl_texts(part: DataFrame) -> DataFrame:
         "STORED AS PARQUET\nLOCATION '/warehouse/x'",
     )
     return part.select(_text("ddl_", key, ".sql").alias("file"), body.alias("ddl"))
+
+
+def _xml(c: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def template_documents(part: DataFrame) -> DataFrame:
+    """(path, content) per template: the processors and connections rendered as one XML document."""
+    entry = lambda p: _text("<entry><key>", _xml(p["name"]), "</key><value>", _xml(p["value"]), "</value></entry>")
+    rows = processors(part).select(
+        "template", F.col("proc_ord").alias("o"), F.lit(0).alias("k"),
+        _text("<processors><config><descriptors><entry><key>x</key></entry></descriptors><comments>", F.col("comments"),
+              "</comments><properties>", F.array_join(F.transform("props", entry), ""), "</properties></config><id>",
+              F.col("processor_id"), "</id><name>", F.col("name"), "</name><type>", F.col("type"), "</type><parentGroupId>",
+              F.col("parent_group"), "</parentGroupId></processors>").alias("x"),
+    )
+    edges = connections(part).select(
+        "template", F.col("conn_ord").alias("o"), F.lit(1).alias("k"),
+        _text("<connections>", F.array_join(F.transform("relationships", lambda r: _text("<selectedRelationships>", r, "</selectedRelationships>")), ""),
+              "<source><id>", F.col("source"), "</id></source><destination><id>", F.col("destination"), "</id></destination></connections>").alias("x"),
+    )
+    groups = processors(part).select("template", "parent_group").distinct().select(
+        "template", F.lit(0).cast("long").alias("o"), F.lit(-1).alias("k"),
+        _text("<processGroups><id>", F.col("parent_group"), "</id><name>", F.initcap("parent_group"), "</name></processGroups>").alias("x"),
+    )
+    body = rows.unionByName(edges).unionByName(groups).groupBy("template").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "o", "x"))), lambda r: r["x"]), "").alias("body"))
+    return body.select(
+        _text("memory:/", F.col("template")).alias("path"),
+        F.encode(_text("<template><snippet>", F.col("body"), "</snippet></template>"), "UTF-8").alias("content"),
+    )
