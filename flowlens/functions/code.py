@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowlens import vocab as V
-from flowlens.functions.text import any_of, ends_with_any, flag, has_any, normalize_el, strip
+from flowlens.functions.text import ends_with_any, flag, has_any, matches_any, normalize_el, strip
 
 
 def _search(c: Column, pattern: str, flags: str = "i") -> Column:
@@ -68,7 +68,7 @@ def looks_like_code(name: Column, value: Column, ptype: Column) -> Column:
     log_text = low_type.contains("logmessage") & has_any(low_name, ["log-message", "log message"])
     longish = (F.length(v) >= 40) | v.contains("\n")
     hinted = (
-        any_of([_search(v, p) for p in V.CODE_TOKENS])
+        matches_any(v, V.CODE_TOKENS, "i")
         | has_any(low_name, V.SCRIPT_NAME_HINTS)
         | has_any(low_type, V.SCRIPT_TYPE_HINTS)
     )
@@ -150,7 +150,7 @@ def inline_script(name: Column, value: Column) -> Column:
     low = F.lower(name)
     multi = strip(value).contains("\n")
     sql_like = has_any(low, ["sql", "query", "statement", "hql"])
-    scripted = has_any(low, V.INLINE_PROPERTY_WORDS) | any_of([_search(value, p, "imd") for p in V.INLINE_INDICATORS])
+    scripted = has_any(low, V.INLINE_PROPERTY_WORDS) | matches_any(value, V.INLINE_INDICATORS, "imd")
     path_like = value.startswith("/") | value.startswith("./") | has_any(value, V.SCRIPT_EXTENSIONS)
     kind = F.lit("unknown")
     for label, pattern in reversed(V.INLINE_LANGUAGES):

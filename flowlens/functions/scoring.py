@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowlens import vocab as V
-from flowlens.functions.text import any_of, has_any
+from flowlens.functions.text import has_any, matches_any
 
 
 def points(condition: Column, value: float) -> Column:
@@ -20,7 +20,7 @@ def format_ok(name: Column) -> Column:
 def shape_score(name: Column) -> Column:
     low, size = F.lower(name), F.length(name)
     score = (
-        points(any_of([low.rlike(p) for p in V.NAME_SHAPES]), 0.3)
+        points(matches_any(low, V.NAME_SHAPES), 0.3)
         + F.when(size.between(3, 30), F.lit(0.2)).when(size > 30, F.lit(-0.1)).otherwise(F.lit(0.0))
         + points(name.rlike(r"^[^.]{2,}\.[^.]{2,}\z"), 0.3)
     )

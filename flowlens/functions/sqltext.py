@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens import vocab as V
 from flowlens.functions import scoring
-from flowlens.functions.text import any_of, ends_with_any, has_any, prop, strip
+from flowlens.functions.text import has_any, prop, strip
 
 
 def clean_sql(c: Column) -> Column:
@@ -186,8 +186,3 @@ def jdbc_source(url: Column) -> Column:
         .otherwise(url)
     )
 
-
-__all__ = [
-    "accepted", "any_of", "clause_hits", "clean_sql", "ends_with_any", "folded_refs", "jdbc_source",
-    "not_a_table", "sql_reads", "sql_snippets", "sql_writes", "warehouse_table",
-]

@@ -21,13 +21,19 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def matches_any(c: Column, patterns: Iterable[str], flags: str = "") -> Column:
+    """True where any pattern is found; one alternation, so the plan stays small."""
+    mode = f"(?{flags})" if flags else ""
+    return c.rlike(mode + "|".join(f"(?:{p})" for p in patterns))
+
+
 def has_any(c: Column, words: Iterable[str]) -> Column:
     """True where ``c`` contains any of the words (case as given)."""
-    return any_of([c.contains(w) for w in words])
+    return matches_any(c, [f"\\Q{w}\\E" for w in words])
 
 
 def ends_with_any(c: Column, suffixes: Iterable[str]) -> Column:
-    return any_of([c.endswith(s) for s in suffixes])
+    return c.rlike("(?:" + "|".join(f"\\Q{s}\\E" for s in suffixes) + r")\z")
 
 
 def flag(c: Column) -> Column:

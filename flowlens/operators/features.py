@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import vocab as V
-from flowlens.functions.text import any_of, el_bodies, el_key, property_blob, short_type, strip
+from flowlens.functions.text import el_bodies, el_key, has_any, property_blob, short_type, strip
 from flowlens.operators import graph
 
 KEY = ["template", "processor_id"]
@@ -43,7 +43,7 @@ def defined_variables(ptype: Column, props: Column) -> Column:
     entries = F.transform(
         usable, lambda p: F.struct(p["name"].alias("variable"), p["name"].alias("property"), p["value"].alias("value"))
     ).cast(DEFINES)
-    return F.when(any_of([ptype.contains(t) for t in V.DEFINING_TYPES]), entries).otherwise(F.array().cast(DEFINES))
+    return F.when(has_any(ptype, V.DEFINING_TYPES), entries).otherwise(F.array().cast(DEFINES))
 
 
 def used_variables(props: Column) -> Column:

@@ -50,19 +50,26 @@ def _filled(sql, offers):
     return F.when(sql.contains("${"), once(once(sql))).otherwise(sql)
 
 
-def processor_tables(processors: DataFrame, connections: DataFrame, refs: DataFrame, depth: str = "direct") -> DataFrame:
-    """Reads and writes per processor before the schema filter: (template, processor_id, ..., reads, writes,
-    base_reads, base_writes). SQL snippets win over base references where they yield anything.
+def base_tables(refs: DataFrame) -> DataFrame:
+    """Distinct (template, processor_id, io, table_name) of extracted references; unknown io counts as read."""
+    return refs.select(
+        *KEY, F.when(F.col("io_type") == "write", F.lit("write")).otherwise(F.lit("read")).alias("io"),
+        F.lower(F.btrim("table_name", F.lit('`"[]'))).alias("table_name"),
+    ).distinct()
+
+
+def processor_tables(processors: DataFrame, connections: DataFrame, base: DataFrame, depth: str = "direct") -> DataFrame:
+    """Reads and writes per processor before the schema filter: (template, processor_id, ..., reads, writes).
+    SQL snippets win over base references where they yield anything.
 
     ``depth="direct"`` resolves variables one hop upstream; ``"transitive"`` uses resolved values
     from any distance.
     """
-    name = F.lower(F.btrim("table_name", F.lit('`"[]')))
-    base = refs.groupBy(*KEY).agg(
-        F.collect_set(F.when(F.col("io_type") != "write", name)).alias("base_reads"),
-        F.collect_set(F.when(F.col("io_type") == "write", name)).alias("base_writes"),
+    listed = base.groupBy(*KEY).agg(
+        F.collect_list(F.when(F.col("io") == "read", F.col("table_name"))).alias("base_reads"),
+        F.collect_list(F.when(F.col("io") == "write", F.col("table_name"))).alias("base_writes"),
     )
-    rows = processors.select(*KEY, "proc_ord", "name", "type", "props").join(base, KEY, "left")
+    rows = processors.select(*KEY, "proc_ord", "name", "type", "props").join(listed, KEY, "left")
     if depth == "direct":
         rows = rows.join(upstream_values(processors, connections), KEY, "left")
         none = F.array().cast("array<struct<first_seen:struct<conn_ord:bigint,ord:int>,k:string,v:string>>")
@@ -83,24 +90,20 @@ def processor_tables(processors: DataFrame, connections: DataFrame, refs: DataFr
     return rows.select(
         *KEY, "proc_ord", "name", "type",
         pick("sql_reads", "base_reads").alias("reads"), pick("sql_writes", "base_writes").alias("writes"),
-        F.coalesce("base_reads", _empty()).alias("base_reads"),
-        F.coalesce("base_writes", _empty()).alias("base_writes"),
     )
 
 
-def schema_allowlist(proc_tables: DataFrame, minimum: int = 2) -> DataFrame:
+def schema_allowlist(base: DataFrame, minimum: int = 2) -> DataFrame:
     """(template, schema) hit by at least two distinct (processor, table) pairs."""
-    hits = proc_tables.select(
-        "template", F.explode(F.array_union("base_reads", "base_writes")).alias("t")
-    ).filter(F.col("t").contains("."))
-    return hits.groupBy("template", F.substring_index("t", ".", 1).alias("schema")).agg(
+    hits = base.filter(F.col("table_name").contains(".")).select(*KEY, "table_name").distinct()
+    return hits.groupBy("template", F.substring_index("table_name", ".", 1).alias("schema")).agg(
         F.count("*").alias("n")
     ).filter(F.col("n") >= minimum).select("template", "schema")
 
 
-def allowed_tables(proc_tables: DataFrame, seed: list[str] = V.SEED_SCHEMAS) -> DataFrame:
+def allowed_tables(proc_tables: DataFrame, base: DataFrame, seed: list[str] = V.SEED_SCHEMAS) -> DataFrame:
     """Reads and writes as rows (template, processor_id, io, table_name) after the schema filter."""
-    allow = schema_allowlist(proc_tables)
+    allow = schema_allowlist(base)
     rows = proc_tables.select(
         *KEY, "proc_ord", "name", "type",
         F.explode(
@@ -129,8 +132,12 @@ def table_sets(allowed: DataFrame) -> DataFrame:
 
 
 def lineage_sources(processors: DataFrame, connections: DataFrame, refs: DataFrame, depth: str = "direct") -> DataFrame:
-    """Filtered (reads, writes) per processor; the input of all lineage edges."""
-    return table_sets(allowed_tables(processor_tables(processors, connections, refs, depth)))
+    """Filtered (reads, writes) per processor; the input of all lineage edges.
+
+    The slim references feed both the sets and the schema allowlist, so they are written once.
+    """
+    base = cut(base_tables(refs))
+    return table_sets(allowed_tables(processor_tables(processors, connections, base, depth), base))
 
 
 def _skipped():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import vocab as V
-from flowlens.functions.text import any_of, el_bodies, el_key, strip
+from flowlens.functions.text import el_bodies, el_key, has_any, strip
 from flowlens.operators.graph import flattened_edges, simple_paths
 
 
@@ -29,7 +29,7 @@ def definitions(processors: DataFrame) -> DataFrame:
         & ~(extracting & (name.isin(*V.EXTRACT_TEXT_SETTINGS) | name.rlike(r"(?U)\s")))
         & ~name.rlike(V.EL)
     )
-    defining = processors.filter(any_of([kind.contains(t) for t in V.DEFINING_TYPES]))
+    defining = processors.filter(has_any(kind, V.DEFINING_TYPES))
     return properties(defining).filter(usable).select(
         "template", "proc_ord", "processor_id", F.col("name").alias("processor_name"),
         kind.alias("processor_type"), F.col("parent_group").alias("parent_group_name"), "prop_ord",

@@ -83,6 +83,15 @@ def sets(spark, sf):
     return silver(spark, sf, "sets", lambda: lineage.lineage_sources(procs(spark, sf), conns(spark, sf), plain_refs(spark, sf)))
 
 
+def shared_sets(spark, sf):
+    """Table sets over the view with few table names, where neighbours share tables."""
+    def build():
+        p, c = views.processors(part(spark, sf), 5), conns(spark, sf)
+        return lineage.lineage_sources(p, c, tables.table_refs(p, c, resolve=False, inherit=False))
+
+    return silver(spark, sf, "shared_sets", build)
+
+
 def joined(column: str):
     return F.array_join(column, ",").alias(column)
 
@@ -136,24 +145,24 @@ def processor_tables(spark, sf):
 
 @query
 def inter_processor_edges(spark, sf):
-    return lineage.inter_edges(sets(spark, sf), conns(spark, sf)).distinct().select(
+    return lineage.inter_edges(shared_sets(spark, sf), conns(spark, sf)).distinct().select(
         "template", "src", "dst", F.array_join("processor_ids", " -> ").alias("processor_ids"))
 
 
 @query
 def domain_edges(spark, sf):
-    return lineage.domain_only(lineage.lineage_edges(sets(spark, sf), conns(spark, sf))).select("template", "src", "dst", joined("processor_ids"))
+    return lineage.domain_only(lineage.lineage_edges(shared_sets(spark, sf), conns(spark, sf))).select("template", "src", "dst", joined("processor_ids"))
 
 
 @query
 def lineage_chain_report(spark, sf):
-    edges = lineage.lineage_edges(sets(spark, sf), conns(spark, sf))
+    edges = lineage.lineage_edges(shared_sets(spark, sf), conns(spark, sf))
     return lineage.chain_report(edges, procs(spark, sf))
 
 
 @query
 def table_flow_links(spark, sf):
-    return lineage.table_flow_links(sets(spark, sf), conns(spark, sf))
+    return lineage.table_flow_links(shared_sets(spark, sf), conns(spark, sf))
 
 
 @query
@@ -173,7 +182,7 @@ def critical_tables_topk(spark, sf):
 
 @query
 def longest_table_paths(spark, sf):
-    edges = lineage.lineage_edges(sets(spark, sf), conns(spark, sf))
+    edges = lineage.lineage_edges(shared_sets(spark, sf), conns(spark, sf))
     return graph.longest_paths(edges).select("template", "rank", F.array_join("path", ">").alias("path"), "nodes", "hops")
 
 

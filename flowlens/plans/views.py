@@ -39,11 +39,15 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def processors(part: DataFrame) -> DataFrame:
-    """One row per processor with its ordered properties nested (no shuffle)."""
+def processors(part: DataFrame, table_names: int | None = None) -> DataFrame:
+    """One row per processor with its ordered properties nested (no shuffle).
+
+    ``table_names`` folds the table numbers to that many, so that more processors share tables.
+    """
     key, size = F.col("p_partkey"), F.col("p_size")
     step = key % STEPS
     brand = F.substring_index("p_brand", "#", -1).cast("int")
+    brand = brand if table_names is None else brand % table_names
     color = F.substring_index("p_name", " ", 1)
     schema = F.lower("p_type")
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPE_BY_REMAINDER]), size % 8 + 1)
