@@ -100,8 +100,8 @@ def decode_base64_text(c: Column) -> Column:
     """Decoded text where the value looks like base64-wrapped text, else null."""
     t = strip(c)
     shaped = (F.length(t) >= 32) & (F.length(t) % 4 == 0) & t.rlike(r"^[A-Za-z0-9+/]+={0,2}\z")
-    text = F.decode(F.try_to_binary(F.when(shaped, t), F.lit("base64")), "UTF-8")
-    text = F.regexp_replace(text, "�", "")
+    raw = F.try_to_binary(F.when(shaped, t), F.lit("base64")).cast("string")
+    text = F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))  # undecodable bytes are dropped
     letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
     return F.when((letters > 10) & text.rlike(r"[ \n]"), text)
 

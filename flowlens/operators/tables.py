@@ -13,6 +13,7 @@ from flowlens.functions.text import (
 )
 from flowlens.operators import variables
 from flowlens.operators.graph import resolve_variables
+from flowlens.session import cut
 
 REFS = (
     "array<struct<table_name:string,source:string,sql_clause:string,io_type:string,confidence:double>>"
@@ -179,6 +180,7 @@ def table_refs(
     props = resolved_properties(processors, connections) if resolve else plain_properties(processors)
     refs = first_per_io(extract(props, compat))
     if inherit:
+        refs = cut(refs)  # read three times below: as sources, as known keys, and as output
         refs = refs.unionByName(inherited(refs, processors), allowMissingColumns=True)
     refs = refs.filter(~F.lower("table_name").isin(*V.NOT_TABLES))
     return inventory_of(refs) if inventory else refs
