@@ -39,8 +39,7 @@ def ddl_files(spark: SparkSession, file: str | None = None, folder: str | None =
     """(file, ddl) of one file or of a folder's ``*.sql``; blank texts are skipped."""
     if (file is None) == (folder is None):
         raise ValueError("give either a file or a folder")
-    reader = spark.read.option("wholetext", "true")
-    texts = reader.text(file) if file else reader.option("pathGlobFilter", "*.sql").text(folder)
+    texts = spark.read.text(file, wholetext=True) if file else spark.read.option("pathGlobFilter", "*.sql").text(folder, wholetext=True)
     return texts.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("ddl")).filter(F.trim("ddl") != "")
 
 
