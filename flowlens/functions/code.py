@@ -53,11 +53,11 @@ def is_single_expression(value: Column) -> Column:
         depth = s["depth"] + flag(ch == "\x01") - flag(ch == "\x02")
         closes = (ch == "\x02") & (depth == 0) & (s["end"] == 0)
         return F.struct(
-            depth.alias("depth"), (s["at"] + 1).alias("at"),
-            F.when(closes, s["at"] + 1).otherwise(s["end"]).alias("end"),
+            depth.alias("depth"), (s["at"] + F.length(ch)).alias("at"),
+            F.when(closes, s["at"] + F.length(ch)).otherwise(s["end"]).alias("end"),
         )
 
-    folded = F.aggregate(F.split(marked, ""), start, step)
+    folded = F.aggregate(F.split(marked, r"(?<=[\x01\x02])|(?=[\x01\x02])"), start, step)
     return F.when(text.startswith("${"), folded["end"] == F.length(marked)).otherwise(F.lit(False))
 
 

@@ -142,8 +142,9 @@ def chains(members: DataFrame, processors: DataFrame, numbered: bool = False) ->
 
 def chain_summary(chain_rows: DataFrame, processors: DataFrame) -> DataFrame:
     """Totals over the corpus: chains, average length, processors in chains, isolated ones."""
-    agg = chain_rows.agg(F.count("*").alias("total_chains"), F.coalesce(F.sum("length"), F.lit(0)).alias("processors_in_chains"))
-    return agg.crossJoin(processors.agg(F.count("*").alias("kept"))).select(
+    found = chain_rows.agg(F.count("*").alias("total_chains"), F.coalesce(F.sum("length"), F.lit(0)).alias("processors_in_chains"))
+    both = found.unionByName(processors.agg(F.count("*").alias("kept")), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).select(
         "total_chains",
         F.when(F.col("total_chains") > 0, F.round(F.col("processors_in_chains") / F.col("total_chains"), 1)).otherwise(F.lit(0.0)).alias("avg_chain_length"),
         "processors_in_chains", (F.col("kept") - F.col("processors_in_chains")).alias("isolated_processors"),

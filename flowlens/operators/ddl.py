@@ -15,7 +15,7 @@ COLUMN_TYPE = "array<struct<ord:int,column:string,type:string,is_partition:boole
 
 
 def split_definitions(text: Column) -> Column:
-    """Split on commas outside parentheses and angle brackets."""
+    """Split on commas outside parentheses and angle brackets, folding over brackets and commas."""
     def step(s: Column, ch: Column) -> Column:
         depth = s["depth"] + flag(ch.isin("(", "<")) - flag(ch.isin(")", ">"))
         return F.struct(
@@ -23,7 +23,7 @@ def split_definitions(text: Column) -> Column:
             F.concat(s["text"], F.when((ch == ",") & (depth == 0), F.lit("\x01")).otherwise(ch)).alias("text"),
         )
 
-    marked = F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step)
+    marked = F.aggregate(F.split(text, r"(?<=[,()<>])|(?=[,()<>])"), F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step)
     return F.filter(F.transform(F.split(marked["text"], "\x01"), strip), lambda d: d.rlike(r"\S\s+\S"))
 
 

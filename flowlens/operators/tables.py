@@ -222,4 +222,6 @@ def corpus_summary(refs: DataFrame, templates: DataFrame) -> DataFrame:
         F.count_distinct("table_name").alias("distinct_tables"),
         F.count_distinct("template", "processor_id").alias("distinct_processors"),
     )
-    return templates.select("template").distinct().agg(F.count("*").alias("templates")).crossJoin(counted)
+    scanned = templates.agg(F.count_distinct("template").alias("templates"))
+    both = scanned.unionByName(counted, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

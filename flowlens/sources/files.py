@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens import vocab as V
+from flowlens.functions.text import strip
 
 SUMMARY_SCHEMA = ", ".join(
     f"{c} " + ("double" if c == "confidence" else "boolean" if c in ("sql_has_dml", "sql_has_metadata_only", "uses_variables")
@@ -40,7 +41,7 @@ def ddl_files(spark: SparkSession, file: str | None = None, folder: str | None =
     if (file is None) == (folder is None):
         raise ValueError("give either a file or a folder")
     texts = spark.read.text(file, wholetext=True) if file else spark.read.option("pathGlobFilter", "*.sql").text(folder, wholetext=True)
-    return texts.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("ddl")).filter(F.trim("ddl") != "")
+    return texts.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("ddl")).filter(strip(F.col("ddl")) != "")
 
 
 def write_template_json(records: DataFrame, location: str, mode: str = "overwrite") -> None:
