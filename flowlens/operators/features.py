@@ -74,7 +74,7 @@ def processor_features(
     )
     blob = processors.withColumn("blob", property_blob(F.col("props")))
     rows = (
-        blob.join(graph.adjacency(connections, processors), KEY, "left")
+        blob.join(graph.neighbor_lists(connections), KEY, "left")
         .join(tables, KEY, "left")
         .join(counts(script_items), KEY, "left")
     )

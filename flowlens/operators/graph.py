@@ -30,8 +30,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def adjacency(connections: DataFrame, processors: DataFrame) -> DataFrame:
-    """Ordered incoming and outgoing neighbour lists per processor (parallel edges repeat)."""
+def neighbor_lists(connections: DataFrame) -> DataFrame:
+    """Ordered incoming and outgoing neighbours of every connected processor (parallel edges repeat)."""
     edges = edges_of(connections)
     ends = edges.select(
         "template",
@@ -47,9 +47,14 @@ def adjacency(connections: DataFrame, processors: DataFrame) -> DataFrame:
     pick = lambda side: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("n")))), lambda x: x["id"]
     )
-    lists = ends.groupBy("template", "processor_id").agg(
+    return ends.groupBy("template", "processor_id").agg(
         pick("in").alias("incoming"), pick("out").alias("outgoing")
     )
+
+
+def adjacency(connections: DataFrame, processors: DataFrame) -> DataFrame:
+    """Neighbour lists of every processor, empty where it has none."""
+    lists = neighbor_lists(connections)
     empty = F.array().cast("array<string>")
     return processors.select("template", "processor_id").join(lists, ["template", "processor_id"], "left").select(
         "template", "processor_id",

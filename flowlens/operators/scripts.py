@@ -91,12 +91,13 @@ def script_items(processors: DataFrame, keep_raw: bool = False) -> DataFrame:
 
 
 def dedupe_inline(rows: DataFrame, key_chars: int = 120) -> DataFrame:
-    """Inline scripts: first per (processor, property without the decode mark, start of normalised content)."""
+    """Inline scripts, one pass: first per (processor, property without the decode mark, start of normalised content)."""
     base = F.replace(F.lower("property_name"), F.lit(" (decoded)"), F.lit(""))
     start = F.substring(normalize_el(F.col("content"), "ELVAR"), 1, key_chars)
-    w = W.partitionBy(*KEY, base, start).orderBy("prop_ord", "item_ord")
-    inline = rows.filter("kind = 'inline'").withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
-    return inline.unionByName(rows.filter("kind = 'external'"))
+    own = F.when(F.col("kind") == "external", F.struct("prop_ord", "item_ord"))  # external ones are all kept
+    w = W.partitionBy(*KEY, "kind", base, start, own).orderBy("prop_ord", "item_ord")
+    placed = rows.repartition(*KEY)  # by processor: also serves the counts and joins that follow
+    return placed.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
 def counts(items: DataFrame) -> DataFrame:

@@ -114,7 +114,11 @@ def extract(props: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def first_per_io(refs: DataFrame) -> DataFrame:
-    """First reference per (processor, table, io) in scan order."""
+    """First reference per (processor, table, io) in scan order.
+
+    Rows are partitioned by processor, which also serves the aggregations and joins that follow.
+    """
+    refs = refs.repartition("template", "processor_id")
     order = W.partitionBy("template", "processor_id", "table_name", "io_type").orderBy("proc_ord", "prop_ord", "step")
     return refs.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
 
