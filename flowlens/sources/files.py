@@ -72,8 +72,9 @@ def write_lineage_csv(report: DataFrame, location: str) -> None:
 def write_external_paths(paths: DataFrame, location: str, templates: DataFrame | None = None) -> None:
     """One text folder per template; with ``templates`` also those without any path."""
     rows = paths if templates is None else templates.select("template").join(paths, "template", "left")
-    rows.select("template", F.coalesce("path", F.lit("")).alias("value")).repartition("template").sortWithinPartitions("template", "value").write.mode(
-        "overwrite").partitionBy("template").text(location)
+    named = rows.select("template", F.coalesce("path", F.lit("")).alias("value"))
+    named.repartitionByRange("template", "value").sortWithinPartitions("template", "value").write.mode("overwrite").partitionBy(
+        "template").text(location)
 
 
 def write_matrix_csv(matrix: DataFrame, location: str) -> None:

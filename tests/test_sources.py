@@ -81,6 +81,14 @@ def test_pipelines_and_sinks(spark, folder):
         files.write_matrix_csv(plan["flat"].limit(0), out + "/matrix")
 
 
+def test_external_path_sink(spark, tmp_path):
+    paths = spark.createDataFrame([("a", "/x/2.sh"), ("a", "/x/1.sh")], "template string, path string")
+    templates = spark.createDataFrame([("a",), ("b",)], "template string")
+    files.write_external_paths(paths, str(tmp_path / "p"), templates)
+    rows = spark.read.text(str(tmp_path / "p")).collect()
+    assert {(r["template"], r["value"]) for r in rows} == {("a", "/x/1.sh"), ("a", "/x/2.sh"), ("b", "")}
+
+
 def test_saved_records(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"workflow": {"filename": "w.xml"},\n "classifications": [{"processor_id": "1"}, {"processor_id": "2"}]}')
     assert {(r["template"], r["processor_id"]) for r in files.saved_records(spark, str(tmp_path)).collect()} == {("w.xml", "1"), ("w.xml", "2")}
