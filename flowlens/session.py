@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _private_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: str = "8", app: str = "flowlens") -> SparkSession:
@@ -28,6 +31,20 @@ def local_session(cores: str = "8", app: str = "flowlens") -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once for each application; Spark hands the archive to every executor."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "flowlens.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def cut_dir(spark: SparkSession) -> str:
     """This application's folder below the one the cluster names; a private one only where unset."""
     app = spark.sparkContext.applicationId
