@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import packing, secrets, simhash, tokencount, tokenfile
+from flowlens.llm import packing, secrets, simhash, substring, tokencount, tokenfile
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op1_secret_scans(spark, sf_dir):
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op3_simhash_near_duplicates, op5_token_file, op6_token_counts, op10_best_fit_packing,
+    op1_secret_scans, op2_substring_dedup, op3_simhash_near_duplicates, op5_token_file, op6_token_counts, op10_best_fit_packing,
 )}
 
 ORACLES: dict[str, str] = {}
