@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import packing, secrets, simhash, substring, tokencount, tokenfile
+from flowlens.llm import packing, ppm, secrets, simhash, substring, tokencount, tokenfile
 
 
 def _table(spark, sf_dir, name):
@@ -21,6 +21,10 @@ def op3_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scores(spark, sf_dir):
+    return ppm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_file(spark, sf_dir):
     return tokenfile.token_digests(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_substring_dedup, op3_simhash_near_duplicates, op5_token_file, op6_token_counts, op10_best_fit_packing,
+    op1_secret_scans, op2_substring_dedup, op3_simhash_near_duplicates, op4_lm_scores, op5_token_file, op6_token_counts, op10_best_fit_packing,
 )}
 
 ORACLES: dict[str, str] = {}
