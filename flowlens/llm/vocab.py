@@ -1,8 +1,8 @@
 """Encoding with the public tokenizers, piece by piece, with the pieces a worker has met remembered.
 
-A text is cut at blanks that stand between two characters which are white space to no tokenizer. No pre-tokenizer of
-the public vocabularies joins what stands before such a blank with what stands behind it, so the encodings of the pieces,
-one after the other, are the encoding of the text; a fuzz test compares them.
+A text is cut at single blanks and line ends that stand between two characters which are white space to no tokenizer. No
+pre-tokenizer of the public vocabularies joins what stands before such a place with what stands behind it, so the encodings
+of the pieces, one after the other, are the encoding of the text; a fuzz test compares them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ REMEMBERED = 800_000
 #: Stands between pieces that are encoded together: no white space, letter or digit, and rare.
 MARK = "\0"
 PIECES_A_TEXT, TEXTS_A_CALL = 200, 50
-ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|  | \n|\n |^ | $")
+ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SAFE_BLANK = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
 
@@ -28,13 +28,14 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def cut(text: str) -> list[str]:
-    """Pieces; all but the first have lost the blank before them."""
-    return SAFE_BLANK.split(text) if ODD_SPACE.search(text) else text.split(" ")
+def cut(text: str) -> list[list[str]]:
+    """Lines of pieces; all but a line's first have lost the blank before them. A text with odd white space is one line."""
+    odd = text[:1] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or ODD_SPACE.search(text)
+    return [SAFE_BLANK.split(text)] if odd else [line.split(" ") for line in text.split("\n")]
 
 
 class Pieces(dict):
-    """Piece that follows a blank -> value of its ids, blank included; ``first`` holds pieces that start a text.
+    """Piece that follows a blank -> value of its ids, blank included; ``first`` holds pieces that start a line.
 
     ``whole`` turns the list of one piece's ids into its value, ``slices`` does so for pieces ``ids[a:b]`` of one array.
     """
@@ -49,7 +50,8 @@ class Pieces(dict):
         self.tokenizer.no_padding()
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.whole, self.slices, self.first = whole, slices, {}
-        self.mark = self._ids(" " + MARK)
+        self.line_end = self._ids("a\nb")[len(self._ids("a")) : -len(self._ids("b"))]
+        self.mark = self._ids("a " + MARK)[len(self._ids("a")) :]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -59,23 +61,23 @@ class Pieces(dict):
         if len(self) + len(self.first) > REMEMBERED:
             self.clear()
             self.first.clear()
-        for x in first.difference(self.first):
-            self.first[x] = self.whole(self._ids(x))
-        new = list(inner.difference(self))
+        self._learn(self, list(inner.difference(self)), " ", " ", len(self.mark) - 1, 0)
+        self._learn(self.first, list(first.difference(self.first)), "", "\n", len(self.line_end), len(self.line_end))
+
+    def _learn(self, known: dict, new: list[str], before: str, around: str, mark_before: int, mark_after: int) -> None:
+        """``around`` stands on both sides of a mark, with so many ids before and behind the mark's last one."""
+        after = around if mark_after or around == "\n" else ""
         parts = [new[i : i + PIECES_A_TEXT] for i in range(0, len(new), PIECES_A_TEXT)]
         for i in range(0, len(parts), TEXTS_A_CALL):
-            texts = ["".join([f" {x} {MARK}" for x in part]) for part in parts[i : i + TEXTS_A_CALL]]
+            texts = ["".join([f"{before}{x}{around}{MARK}{after}" for x in part]) for part in parts[i : i + TEXTS_A_CALL]]
             for part, found in zip(parts[i : i + TEXTS_A_CALL], self.encode(texts, add_special_tokens=False), strict=True):
-                self._take(part, np.asarray(found.ids, "<u4"))
-
-    def _take(self, pieces: list[str], ids: np.ndarray) -> None:
-        last = np.flatnonzero(ids == self.mark[-1])
-        if len(last) == len(pieces):
-            ends = last + 1 - len(self.mark)
-            starts = np.concatenate([[0], last[:-1] + 1])
-            self.update(zip(pieces, self.slices(ids, starts.tolist(), ends.tolist()), strict=True))
-        else:  # a piece holds the mark itself
-            self.update((x, self.whole(self._ids(" " + x))) for x in pieces)
+                ids = np.asarray(found.ids, "<u4")
+                marks = np.flatnonzero(ids == self.mark[-1])
+                if len(marks) == len(part):
+                    starts = np.concatenate([[0], marks[:-1] + 1 + mark_after])
+                    known.update(zip(part, self.slices(ids, starts.tolist(), (marks - mark_before).tolist()), strict=True))
+                else:  # a piece holds the mark itself
+                    known.update((x, self.whole(self._ids(before + x))) for x in part)
 
 
 def _bytes(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
@@ -96,23 +98,31 @@ def lengths_of(path: str) -> Pieces:
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, little-endian unsigned 32-bit."""
-    return [first + b"".join(rest) for first, rest in _looked_up(texts, pieces_of(path))]
+    known = pieces_of(path)
+    line_end = known.whole(known.line_end)
+    return [line_end.join([head + b"".join(rest) for head, rest in lines]) for lines in _looked_up(texts, known)]
 
 
 def count_all(texts: list[str], path: str) -> list[int]:
     """Number of ids of each text."""
-    return [first + sum(rest) for first, rest in _looked_up(texts, lengths_of(path))]
+    known = lengths_of(path)
+    line_end = len(known.line_end)
+    return [sum([head + sum(rest) + line_end for head, rest in lines]) - line_end for lines in _looked_up(texts, known)]
 
 
-def _looked_up(texts, known):
+def _looked_up(texts: list[str], known: Pieces):
+    """For each text its lines: (value of the first piece, values of the others)."""
     parts = [cut(x) for x in texts]
-    heads = [p[0] for p in parts]
-    for p in parts:
-        p[0] = ""
-    wanted = set().union(*parts)
+    heads = [[line[0] for line in lines] for lines in parts]
+    for lines in parts:
+        for line in lines:
+            line[0] = ""
+    wanted = set()
+    for lines in parts:
+        wanted.update(*lines)
     wanted.discard("")
-    known.learn(wanted, set(heads))
+    known.learn(wanted, set().union(*heads))
     known[""] = known.whole([])
-    get = known.__getitem__
-    for head, p in zip(heads, parts, strict=True):
-        yield known.first[head], map(get, p)
+    get, first = known.__getitem__, known.first
+    for head, lines in zip(heads, parts, strict=True):
+        yield [(first[h], map(get, line)) for h, line in zip(head, lines, strict=True)]
