@@ -1,4 +1,8 @@
-"""Training-data pipeline over the documents table."""
+"""Training-data pipeline over the documents table: what is dull or toxic, repeated or leaked goes, secrets are blanked, and
+the rest is packed into sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.llm import cotrain, decontam, packing, secrets, simhash
 from flowlens.session import cut_dir
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject as bad or toxic."""
+    return cotrain.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets blanked."""
+    return secrets.redact_secrets(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document with its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("simhash_near_duplicates", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scans", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Learned scores and searches can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -17,8 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each one's rows are written and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = f"{cut_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -69,6 +69,7 @@ def _sigmoid(x):
 
 
 def content_features(text: str) -> set[str]:
+    """Words and runs of signs."""
     return set(TOKEN.findall(text.lower()))
 
 
@@ -242,13 +243,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 30
     return models
 
 
-def judge(docs: DataFrame, models: dict[str, Classifier], threshold: float = 0.5, metadata: tuple[str, ...] = ("lang", "source"),
-          id_col: str = "doc_id", text_col: str = "text", as_column: str = "judged") -> DataFrame:
+def judge(docs: DataFrame, models: dict[str, Classifier], bad: float = 0.8, toxic: float = 0.5,
+          metadata: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text",
+          as_column: str = "judged") -> DataFrame:
     """All columns of ``docs`` and a struct (quality, toxic, score, keep) of each row.
 
-    quality and toxic are probabilities, score the one of being good and not toxic; a row is kept unless it is more likely
-    bad than ``threshold`` or more likely toxic than ``threshold``. A null text is judged as an empty one; null metadata is a
-    value of its own.
+    quality and toxic are probabilities, score the one of being good and not toxic. A row is rejected if it is bad with
+    probability ``bad`` or more, or toxic with ``toxic`` or more: a clean document lost weighs more than a dull one kept. A
+    null text is judged as an empty one; null metadata is a value of its own.
     """
     ship(docs.sparkSession)
     metadata = [c for c in metadata if c in docs.columns and c not in (id_col, text_col)]
@@ -262,8 +264,8 @@ def judge(docs: DataFrame, models: dict[str, Classifier], threshold: float = 0.5
             for i, text in enumerate(batch.column(at_text).to_pylist()):
                 content = content_features(text or "")
                 shape = metadata_features(text or "", {c: None if v[i] is None else str(v[i]) for c, v in zip(metadata, given, strict=True)})
-                good, toxic = (models[t].probability(content, shape) for t in TARGETS)
-                out.append({"quality": good, "toxic": toxic, "score": good * (1 - toxic), "keep": good >= 1 - threshold and toxic <= threshold})
+                p, q = (models[t].probability(content, shape) for t in TARGETS)
+                out.append({"quality": p, "toxic": q, "score": p * (1 - q), "keep": 1 - p < bad and q < toxic})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, inner)], [*batch.schema.names, as_column])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(as_column, T.StructType.fromDDL(

@@ -59,19 +59,39 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col
     its words; items of equal text are found each; documents without an id are found with a null id; repeated documents give
     one row for each; other columns are left aside; an empty table on either side gives an empty result.
     """
+    found = _found(docs, items, threshold, id_col, text_col, item_id_col, item_text_col)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
+    return found.select("doc_id", F.explode("item_ids").alias("item_id"), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+                      item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that contain no item, with their columns; see ``find_items``."""
+    found = _found(docs, items, threshold, id_col, text_col, item_id_col, item_text_col)
+    if found is None:
+        return docs
+    bad = cut(found.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_text")).distinct())
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_bad_id")) & (_text_key(text_col) == F.col("_bad_text"))
+    return docs.join(bad, same, "left_anti")
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
+def _found(docs, items, threshold, id_col, text_col, item_id_col, item_text_col) -> DataFrame | None:
+    """(doc_id, text_key, item_ids, n_item, n_shared), None without any item."""
     sets = cut(_item_sets(items, item_id_col, item_text_col).groupBy("width", F.sort_array("hashes").alias("hashes"))
                .agg(F.collect_list("item_id").alias("item_ids")).withColumn("item", F.xxhash64("width", "hashes")))
     sketches = cut(_sketches(sets, threshold))
     reach = sketches.groupBy("width").agg(F.max("hash").alias("top")).collect()  # a row for each width: five at most
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("w"),
-                       F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
-    rows = rows.where("size(w) > 0")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), words_of(F.col(f"`{text_col}`").cast("string")).alias("w"),
+                       _text_key(text_col).alias("text_key")).where("size(w) > 0")
     found = None
     for r in sorted(reach):
         part = _of_width(rows, sets, sketches, r["width"], r["top"], threshold)
         found = part if found is None else found.union(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
     return found
 
 
@@ -80,13 +100,12 @@ def _of_width(rows: DataFrame, sets: DataFrame, sketches: DataFrame, width: int,
     long_enough = rows.where(f"size(w) >= {width}")
     low = F.filter(shingles("w", width), lambda h: h <= F.lit(top))
     probes = long_enough.select("doc_id", "text_key", F.explode(F.array_distinct(low)).alias("hash"))
-    mine = sketches.where(f"width = {width}")
-    hits = probes.join(mine, "hash").groupBy("doc_id", "text_key", "item", "need").agg(F.count("*").alias("hits"))
+    hits = probes.join(sketches.where(f"width = {width}"), "hash").groupBy("doc_id", "text_key", "item", "need").agg(F.count("*").alias("hits"))
     pairs = cut(hits.where("hits >= need").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "item"))
     wanted = pairs.join(sets.where(f"width = {width}"), "item").select("id", "key", "item_ids", "hashes")
-    own = long_enough.join(pairs.select("id", "key").distinct(), F.expr("doc_id <=> id AND text_key = key"), "left_semi")
-    checked = own.join(wanted, F.expr("doc_id <=> id AND text_key = key")).select(
-        "doc_id", "item_ids", F.size("hashes").cast("long").alias("n_item"),
-        F.size(F.array_intersect("hashes", shingles("w", width))).cast("long").alias("n_shared"))
-    return checked.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold - 1e-9) \
-        .select("doc_id", F.explode("item_ids").alias("item_id"), "n_item", "n_shared", "containment")
+    shared = F.size(F.array_intersect("hashes", shingles("w", width))).cast("long")
+    return (
+        long_enough.join(wanted, F.expr("doc_id <=> id AND text_key = key"))
+        .select("doc_id", "text_key", "item_ids", F.size("hashes").cast("long").alias("n_item"), shared.alias("n_shared"))
+        .where(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import cotrain, decontam, packing, ppm, secrets, simhash, substring, tokencount, tokenfile
+from flowlens.llm import ann, cotrain, decontam, packing, ppm, secrets, simhash, substring, tokencount, tokenfile
 
 
 def _table(spark, sf_dir, name):
@@ -37,6 +37,10 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return decontam.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_nearest_neighbours(spark, sf_dir):
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_classifier(spark, sf_dir):
     return cotrain.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_substring_dedup, op3_simhash_near_duplicates, op4_lm_scores, op5_token_file, op6_token_counts, op7_benchmark_decontamination, op9_quality_classifier, op10_best_fit_packing,
+    op1_secret_scans, op2_substring_dedup, op3_simhash_near_duplicates, op4_lm_scores, op5_token_file, op6_token_counts, op7_benchmark_decontamination, op8_nearest_neighbours, op9_quality_classifier, op10_best_fit_packing,
 )}
 
 ORACLES: dict[str, str] = {}

@@ -104,14 +104,16 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, least_ratio: fl
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str | None = None, least_ratio: float = 2.2,
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The same rows and columns with every span of ``scan_secrets`` replaced by ``mark``; overlapping spans by one mark.
 
-    A null text stays null; texts without secrets are not changed.
+    A null text stays null; rows without secrets are not changed; ``length_col``, if there is such a column, becomes the length
+    of a changed text.
     """
     path = vocabulary or default_path("byte_bpe_50k.tiktoken")
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
+    at_length = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def clean(text: str, encoder) -> str:
         base = base_spans(text)
@@ -126,8 +128,13 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str | No
     def redact(batches):
         encoder = _encoder(path)
         for batch in batches:
-            texts = batch.column(at)
-            new = pa.array([None if x is None else clean(x, encoder) for x in texts.to_pylist()], texts.type)
-            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+            columns = list(batch.columns)
+            old = columns[at].to_pylist()
+            new = [None if x is None else clean(x, encoder) for x in old]
+            columns[at] = pa.array(new, columns[at].type)
+            if at_length is not None:
+                sizes = columns[at_length]
+                columns[at_length] = pa.array([n if x is y or x == y else len(y) for n, x, y in zip(sizes.to_pylist(), old, new, strict=True)], sizes.type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(redact, docs.schema)

@@ -13,10 +13,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import chunks, text_rows, texts_of
+from flowlens.llm.common import content_key, text_rows, texts_of
 from flowlens.llm.components import components
 from flowlens.session import cut, cut_counted
 
@@ -51,14 +51,15 @@ def fingerprints_of(texts: list[bytes]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fingerprints as signed longs, one row for each input row."""
+    """(doc_id, text_key, fp): fingerprints as signed longs, one row for each input row."""
 
     def make(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fingerprints_of(texts_of(batch)).view(np.int64))], ["doc_id", "fp"])
+            prints = pa.array(fingerprints_of(texts_of(batch)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), prints], ["doc_id", "text_key", "fp"])
 
-    return text_rows(docs, id_col, text_col).mapInArrow(make, "doc_id long, fp long")
+    rows = text_rows(docs, id_col, text_col).withColumn("text_key", content_key(F.col("text")))
+    return rows.mapInArrow(make, "doc_id long, text_key long, fp long")
 
 
 def _prefix(bits) -> F.Column:
@@ -210,6 +211,15 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return linked, label[linked]
 
 
+def _classes(prints: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """(fp, component, component_id) of every distinct fingerprint."""
+    of_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(trie_links(of_print.select("fp"), budget, leaf))
+    of_node = of_print.join(found, of_print.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
+    return of_node.select("fp", "component").join(least, "component")
+
+
 def near_duplicates(docs: DataFrame, budget: int = 2, leaf: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each input row.
 
@@ -219,11 +229,22 @@ def near_duplicates(docs: DataFrame, budget: int = 2, leaf: int = 1024, id_col:
     other columns are left aside; an empty table gives an empty one.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    of_print = cut(distinct)
-    found = components(trie_links(of_print.select("fp"), budget, leaf))
-    of_node = of_print.join(found, of_print.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = of_node.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
+    return prints.join(_classes(prints, budget, leaf), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, budget: int = 2, leaf: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of each component with the least id (then the least hash of its text), with the columns of ``docs``.
+
+    Rows without an id come first; of rows equal in id and text one stays.
+    """
+    prints = cut(fingerprints(docs, id_col, text_col))
+    id_key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    kept = prints.join(_classes(prints, budget, leaf), "fp").groupBy("component").agg(F.min(F.struct(id_key.alias("i"), F.col("text_key").alias("t"))).alias("x"))
+    keys = cut(kept.select(F.col("x.i").alias("_kept_id"), F.col("x.t").alias("_kept_text")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"),
+                       content_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text"))
+    mine = rows.join(keys, (F.col("_id") == F.col("_kept_id")) & (F.col("_text") == F.col("_kept_text")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))
+    return mine.withColumn("_nth", nth).where("_nth = 1").select("_row.*")
