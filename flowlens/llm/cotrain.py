@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,9 @@ KIND_OF = np.full(256, len(KINDS), np.int64)
 for _at, _bytes in enumerate(KINDS.values()):
     KIND_OF[list(_bytes)] = _at
 SHARE_STEPS = (0.0, 0.005, 0.01, 0.02, 0.04, 0.08, 0.12, 0.16, 0.2, 0.3, 0.5, 0.8, 1.0)
-SKETCHES = 6
+#: Without any label nothing is rejected.
+WITHOUT_LABELS = {"quality": 0.999, "toxic": 0.001}
+SKETCHES, BAND = 12, 3
 TARGETS = ("quality", "toxic")
 
 
@@ -125,7 +128,7 @@ def logistic(columns: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> np
 
 
 def sketch_of(text: str) -> list[int]:
-    """Least hashes of three-word shingles in SKETCHES orders; copies share at least one of them."""
+    """Least hashes of three-word shingles in SKETCHES orders."""
     words = text.lower().encode().split()
     stretch, at = hash_spans([words]), np.arange(max(1, len(words) - 2))
     hashes = stretch(at, np.minimum(at + 3, len(words)))
@@ -133,7 +136,7 @@ def sketch_of(text: str) -> list[int]:
 
 
 def groups_of(sketches: list[list[int]]) -> list[int]:
-    """A number for each row, equal where a chain of rows shares a hash of one order."""
+    """A number for each row, equal where a chain of rows shares all hashes of one band; copies mostly do, others hardly."""
     leader = list(range(len(sketches)))
 
     def top(i: int) -> int:
@@ -141,25 +144,25 @@ def groups_of(sketches: list[list[int]]) -> list[int]:
             leader[i] = i = leader[leader[i]]
         return i
 
-    first: dict[tuple[int, int], int] = {}
+    first: dict[tuple, int] = {}
     for i, sketch in enumerate(sketches):
-        for k, h in enumerate(sketch):
-            a, b = top(i), top(first.setdefault((k, h), i))
+        for k in range(0, SKETCHES, BAND):
+            a, b = top(i), top(first.setdefault((k, *sketch[k : k + BAND]), i))
             leader[max(a, b)] = min(a, b)
     return [top(i) for i in range(len(sketches))]
 
 
 def co_train(labelled: list[tuple[set[str], set[str]]], labels: np.ndarray, pool: list[tuple[set[str], set[str]]], groups: list[int],
-             rounds: int = 3, sure: float = 0.98) -> Classifier:
+             rounds: int = 3, sure: float = 0.98, default: float = 0.5) -> Classifier:
     """A classifier of (content, metadata) feature sets from labelled rows and a pool without labels.
 
     ``groups`` are those of the labelled rows, then of the pool. Whole groups of copies calibrate: neither view learns
-    from them.
+    from them. ``default`` is the probability where there are no labels at all.
     """
-    mine, pool_groups = np.array(groups[: len(labelled)], np.int64), groups[len(labelled) :]
-    held = mine % 4 == 0
+    mine, pool_groups = groups[: len(labelled)], groups[len(labelled) :]
+    held = np.array([xxhash.xxh3_64_intdigest(str(g)) % 4 == 0 for g in mine], bool)
     if len(labels) == 0 or len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
-        share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.5
+        share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else default
         return Classifier(View(), View(), (float(np.log(share / (1 - share))), 0.0, 0.0))
     truth = labels[held].astype(float)
     learn = [(row, int(y), int(g)) for row, y, g, h in zip(labelled, labels, mine, held, strict=True) if not h]
@@ -220,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 30
         id_col: str = "doc_id", text_col: str = "text") -> dict[str, Classifier]:
     """A classifier for each of quality (1: good) and toxic (1: toxic), from bounded samples.
 
-    Of several labels of one document the worse counts; labels without id or value are left aside. Without both kinds of a
-    label the classifier gives every document the share of that label. Metadata columns that ``docs`` lacks are left aside.
+    Of several labels of one document the worse counts; labels without id or value are left aside. With one kind of a label
+    the classifier gives every document the share of that label, without any nothing is bad or toxic. Metadata columns that ``docs`` lacks are left aside.
     """
     ship(docs.sparkSession)
     metadata = [c for c in metadata if c in docs.columns and c not in (id_col, text_col)]
@@ -239,7 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 30
     for target in TARGETS:
         at = [i for i, r in enumerate(rows) if r[target] in (0, 1)]
         models[target] = co_train([sets[i] for i in at], np.array([rows[i][target] for i in at], np.int64), unlabelled,
-                                   groups_of([sketches[i] for i in [*at, *range(len(rows), len(sketches))]]), rounds)
+                                   groups_of([sketches[i] for i in [*at, *range(len(rows), len(sketches))]]), rounds,
+                                   default=WITHOUT_LABELS[target])
     return models
 
 

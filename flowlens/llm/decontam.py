@@ -62,7 +62,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col
     found = _found(docs, items, threshold, id_col, text_col, item_id_col, item_text_col)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
-    return found.select("doc_id", F.explode("item_ids").alias("item_id"), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return found.select("doc_id", F.inline("item_ids"), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
@@ -83,7 +83,7 @@ def _text_key(text_col: str) -> Column:
 def _found(docs, items, threshold, id_col, text_col, item_id_col, item_text_col) -> DataFrame | None:
     """(doc_id, text_key, item_ids, n_item, n_shared), None without any item."""
     sets = cut(_item_sets(items, item_id_col, item_text_col).groupBy("width", F.sort_array("hashes").alias("hashes"))
-               .agg(F.collect_list("item_id").alias("item_ids")).withColumn("item", F.xxhash64("width", "hashes")))
+               .agg(F.collect_list(F.struct("item_id")).alias("item_ids")).withColumn("item", F.xxhash64("width", "hashes")))
     sketches = cut(_sketches(sets, threshold))
     reach = sketches.groupBy("width").agg(F.max("hash").alias("top")).collect()  # a row for each width: five at most
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), words_of(F.col(f"`{text_col}`").cast("string")).alias("w"),

@@ -200,7 +200,7 @@ def _word_scores(words: DataFrame, events: DataFrame) -> DataFrame:
             found = found.astype(np.int64)
             at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
             there = known[at] == found if len(known) else np.zeros(len(found), bool)
-            sums = np.bincount(of[there], logp[at[there]], batch.num_rows)
+            sums = np.bincount(of[there], logp[at[there]], batch.num_rows).astype(float)
             missing = np.flatnonzero(~there)
             bounds = np.searchsorted(of[missing], np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
