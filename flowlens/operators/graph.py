@@ -158,9 +158,9 @@ def _segments(edges: DataFrame, stride: int) -> DataFrame:
 
 
 def simple_paths(
-    edges: DataFrame, starts: DataFrame, max_nodes: int = 20, stride: int = 4
+    edges: DataFrame, starts: DataFrame, max_nodes: int | None = None, stride: int = 4
 ) -> DataFrame:
-    """All simple paths from each start, of 1..max_nodes nodes: (template, start, last, path, rels).
+    """All simple paths from each start: (template, start, last, path, rels). ``max_nodes`` bounds their length if asked.
 
     ``rels`` keeps one relationship array per hop; parallel connections give separate paths.
     The result is inherently path-many; nothing is dropped, and each round is one equi-join.
@@ -171,13 +171,13 @@ def simple_paths(
     )
     segments = cut(_segments(edges, stride))
     frontier, found, grown = seeds, [seeds], 1
-    while grown < max_nodes:
+    while max_nodes is None or grown < max_nodes:
         p, s = frontier.alias("p"), segments.alias("s")
         step = p.join(
             s, (F.col("p.template") == F.col("s.template")) & (F.col("p.last") == F.col("s.first"))
         ).filter(
             ~F.arrays_overlap(F.col("p.path"), F.col("s.nodes"))
-            & (F.size("p.path") + F.size("s.nodes") <= max_nodes)
+            & (F.lit(max_nodes is None) | (F.size("p.path") + F.size("s.nodes") <= F.lit(max_nodes or 0)))
         ).select(
             "p.template", "p.start", "s.last", F.concat("p.path", "s.nodes").alias("path"),
             F.concat("p.rels", "s.rels").alias("rels"),
@@ -191,7 +191,7 @@ def simple_paths(
     return union_all(found)
 
 
-def longest_paths(edges: DataFrame, max_examples: int | None = 3) -> DataFrame:
+def longest_paths(edges: DataFrame, max_examples: int | None = None) -> DataFrame:
     """Longest simple paths per template over (template, src, dst): path, nodes, hops, rank.
 
     All paths of a round have the same length, so only each template's last living frontier is a
@@ -301,26 +301,28 @@ def group_paths(groups: DataFrame) -> DataFrame:
     """Slash path of every process group: names from the outermost known ancestor down.
 
     ``groups`` has (template, group_id, name, parent_id). An unknown parent contributes nothing.
-    The list of names grows by doubling, so depth d needs log2(d) joins.
+    The list of names grows by doubling, so depth d needs log2(d) joins. Groups that are their own
+    ancestors have no outermost one; each of them keeps its own name.
     """
     known = groups.select("template", F.col("group_id").alias("parent_id"), F.lit(True).alias("known"))
     state = groups.join(known, ["template", "parent_id"], "left").select(
         "template", "group_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.array("name").alias("names")
     )
-    state = cut(state)
-    for _ in range(7):  # 2**7 covers the depth guard of 100
-        if state.filter(F.col("up").isNotNull()).isEmpty():
-            break
+    state, below = cut_counted(state, "up IS NOT NULL")
+    total, reach = state.count() if below else 0, 1
+    while below and reach <= total:
+        reach *= 2
         parents = state.select(
             "template", F.col("group_id").alias("up"), F.col("up").alias("next_up"), F.col("names").alias("above")
         )
-        state = cut(
+        state, below = cut_counted(
             state.join(parents, ["template", "up"], "left").select(
                 "template", "group_id", F.col("next_up").alias("up"),
                 F.when(F.col("above").isNotNull(), F.concat("above", "names")).otherwise(F.col("names")).alias("names"),
-            )
+            ), "up IS NOT NULL"
         )
-    return state.select("template", "group_id", F.array_join("names", "/").alias("path"))
+    names = F.when(F.col("up").isNull(), F.col("names")).otherwise(F.slice("names", -1, 1))
+    return state.select("template", "group_id", F.array_join(names, "/").alias("path"))
 
 
 def resolve_variables(literals: DataFrame, connections: DataFrame, processors: DataFrame) -> DataFrame:

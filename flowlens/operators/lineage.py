@@ -101,7 +101,7 @@ def schema_allowlist(base: DataFrame, minimum: int = 2) -> DataFrame:
     ).filter(F.col("n") >= minimum).select("template", "schema")
 
 
-def allowed_tables(proc_tables: DataFrame, base: DataFrame, seed: list[str] = V.SEED_SCHEMAS) -> DataFrame:
+def allowed_tables(proc_tables: DataFrame, base: DataFrame, seed: tuple[str, ...] = ()) -> DataFrame:
     """Reads and writes as rows (template, processor_id, io, table_name) after the schema filter."""
     allow = schema_allowlist(base)
     rows = proc_tables.select(
@@ -193,7 +193,7 @@ def domain_only(edges: DataFrame) -> DataFrame:
     )
 
 
-def table_flow_links(sets: DataFrame, connections: DataFrame, max_hops: int = 50) -> DataFrame:
+def table_flow_links(sets: DataFrame, connections: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Writer -> reader of the same table, where the writer reaches the reader.
 
     Candidate pairs come from the reachability of writers, not from pairing all writers with all

@@ -35,8 +35,8 @@ def key_details(ptype: Column, props: Column) -> Column:
             entry("File Pattern", file_filter, (file_filter != "") & (file_filter != ".*"))))
         .when(ptype == "ExecuteStreamCommand", show(
             entry("Command Path", path, path != ""),
-            entry("Arguments", args, (args != "") & (F.length(args) < 150)),
-            entry("Full Command", full, (full != "") & (F.length(full) < 200)),
+            entry("Arguments", args, args != ""),
+            entry("Full Command", full, full != ""),
             filled("Working Dir", "Working Directory"),
             entry("Purpose", purpose, ((path != "") | (args != "")) & purpose.isNotNull())))
         .when(ptype == "PutHDFS", show(

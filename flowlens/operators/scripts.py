@@ -87,13 +87,14 @@ def script_items(processors: DataFrame, keep_raw: bool = False) -> DataFrame:
         *KEY, "proc_ord", "processor_name", short_type(F.col("type")).alias("processor_type"),
         F.col("parent_group").alias("processor_group"), "prop_ord", "item_ord", "i.*",
     )
-    return dedupe_inline(rows if keep_raw else rows.withColumn("content", redact(F.col("content"))))
+    rows = dedupe_inline(rows)
+    return rows if keep_raw else rows.withColumn("content", redact(F.col("content")))
 
 
-def dedupe_inline(rows: DataFrame, key_chars: int = 120) -> DataFrame:
-    """Inline scripts, one pass: first per (processor, property without the decode mark, start of normalised content)."""
+def dedupe_inline(rows: DataFrame) -> DataFrame:
+    """Inline scripts, one pass: first per (processor, property without the decode mark, whole normalised content)."""
     base = F.replace(F.lower("property_name"), F.lit(" (decoded)"), F.lit(""))
-    start = F.substring(normalize_el(F.col("content"), "ELVAR"), 1, key_chars)
+    start = F.sha2(normalize_el(F.col("content"), "ELVAR"), 256)
     own = F.when(F.col("kind") == "external", F.struct("prop_ord", "item_ord"))  # external ones are all kept
     w = W.partitionBy(*KEY, "kind", base, start, own).orderBy("prop_ord", "item_ord")
     placed = rows.repartition(*KEY)  # by processor: also serves the counts and joins that follow

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from flowlens.functions.text import strip
 
+POINTERS = "_generations"
 SNIPPET_FIELDS = [
     "processor_id", "template", "name", "short_type", "parent_group", "parent_group_path", "migration_category",
     "databricks_target", "recommended_target", "migration_needed", "implementation_hint", "blockers", "next_step",
@@ -42,21 +44,24 @@ def snippet_rows(records: DataFrame, endpoint: str, max_tokens: int, batch_index
 def load(spark: SparkSession, path: str) -> DataFrame | None:
     """Newest generation of the store, or None where there is none yet."""
     try:
-        pointers = spark.read.text(f"{path}/_current")
+        generation = spark.read.text(f"{path}/{POINTERS}").agg(F.max("value")).first()[0]
     except AnalysisException:
         return None
-    generation = pointers.agg(F.max("value")).first()[0]
-    return spark.read.parquet(f"{path}/{generation}")
+    return None if generation is None else spark.read.parquet(f"{path}/{generation}")
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Merge rows into the store. A new generation is written whole, then the pointer moves, so a
-    lost job leaves the old store intact."""
+    """Merge rows into the store; of several rows for a processor the last of the newest batch stays.
+
+    A new generation is written whole, then a pointer to it is added. Generations are named in ascending order and pointers
+    are only added, so a job lost at any point leaves the newest complete generation to be found.
+    """
     old = load(spark, path)
+    rows = rows.withColumn("ordinal", F.monotonically_increasing_id())
     merged = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
-    generation = f"gen-{uuid.uuid4().hex}"
-    latest(merged, ["processor_id"], ["cached_at", "batch_index"]).write.parquet(f"{path}/{generation}")
-    spark.createDataFrame([(generation,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+    generation = f"gen-{time.time_ns():020d}-{uuid.uuid4().hex}"
+    latest(merged, ["processor_id"], ["cached_at", "batch_index", "ordinal"]).write.parquet(f"{path}/{generation}")
+    spark.createDataFrame([(generation,)], "value string").coalesce(1).write.mode("append").text(f"{path}/{POINTERS}")
     return spark.read.parquet(f"{path}/{generation}")
 
 

@@ -56,9 +56,9 @@ def usages(processors: DataFrame) -> DataFrame:
 
 
 def literals(defs: DataFrame) -> DataFrame:
-    """Static values a processor assigns, as (template, processor_id, variable, value)."""
-    return defs.filter("definition_type = 'static'").select(
-        "template", "processor_id", "variable", F.col("property_value").alias("value")
+    """Static values a processor assigns, as (template, processor_id, variable, value); of repeated ones the last wins."""
+    return defs.filter("definition_type = 'static'").groupBy("template", "processor_id", "variable").agg(
+        F.max_by("property_value", F.struct("proc_ord", "prop_ord")).alias("value")
     )
 
 
@@ -113,9 +113,9 @@ def details(defs: DataFrame, uses: DataFrame) -> DataFrame:
 
 
 def flows(
-    processors: DataFrame, connections: DataFrame, through: str = "ports", max_nodes: int = 20, stride: int = 4
+    processors: DataFrame, connections: DataFrame, through: str = "ports", max_nodes: int | None = None, stride: int = 4
 ) -> DataFrame:
-    """All simple paths (at most 20 nodes) from a definer of a variable to any of its users.
+    """All simple paths from a definer of a variable to any of its users.
 
     Paths are expanded once per defining processor and matched to variables afterwards, so a
     processor that sets many variables is walked once.

@@ -275,7 +275,7 @@ CTES["bs"] = "SELECT DISTINCT template, processor_id, CASE io WHEN 'write' THEN
 CTES["al"] = f"""
 SELECT * FROM (SELECT * FROM rw UNION ALL SELECT * FROM bs b WHERE NOT EXISTS (
   SELECT 1 FROM rw WHERE rw.template = b.template AND rw.processor_id = b.processor_id AND rw.io = b.io)) x
-WHERE contains(t, '.') AND NOT {NOT_TABLE} AND (split_part(t, '.', 1) IN {names(V.SEED_SCHEMAS)} OR (template, split_part(t, '.', 1)) IN (
+WHERE contains(t, '.') AND NOT {NOT_TABLE} AND ((template, split_part(t, '.', 1)) IN (
   SELECT (template, s) FROM (SELECT template, split_part(t, '.', 1) AS s FROM (SELECT DISTINCT template, processor_id, t FROM bs WHERE contains(t, '.')) GROUP BY ALL HAVING count(*) >= 2)))"""
 CTES["le"] = """
 SELECT r.template, r.t AS src, w.t AS dst, r.processor_id FROM al r JOIN al w ON r.template = w.template AND r.processor_id = w.processor_id
@@ -303,7 +303,7 @@ SELECT ae.template, src AS source_table, dst AS target_table, array_to_string(id
 FROM ae JOIN fp a ON a.processor_id = ids[1] LEFT JOIN fp b ON b.processor_id = ids[2]""")
 CTES["cl"] = """
 SELECT template, src, dst, 1 AS hops FROM ce
-UNION SELECT c.template, c.src, e.dst, c.hops + 1 FROM cl c JOIN ce e ON e.template = c.template AND e.src = c.dst WHERE c.hops < 50"""
+UNION SELECT c.template, c.src, e.dst, c.hops + 1 FROM cl c JOIN ce e ON e.template = c.template AND e.src = c.dst"""
 oracle("downstream_closure", "SELECT template, src, dst, min(hops) AS hops FROM cl GROUP BY ALL")
 oracle("table_flow_links", """
 SELECT DISTINCT c.template, w.t AS table_name, c.src AS writer_id, pw.name AS writer_name, c.dst AS reader_id, pr_.name AS reader_name
@@ -324,7 +324,7 @@ UNION ALL SELECT g.template, e.dst, list_append(g.path, e.dst) FROM gp g JOIN ge
 oracle("longest_table_paths", """
 SELECT template, rank, array_to_string(path, '>') AS path, len(path) AS nodes, len(path) - 1 AS hops FROM (
   SELECT *, row_number() OVER (PARTITION BY template ORDER BY path) AS rank FROM gp
-  WHERE (template, len(path)) IN (SELECT (template, max(len(path))) FROM gp GROUP BY template)) WHERE rank <= 3""")
+  WHERE (template, len(path)) IN (SELECT (template, max(len(path))) FROM gp GROUP BY template))""")
 
 # --- graph -------------------------------------------------------------------------------------
 
@@ -349,7 +349,7 @@ oracle("group_paths", "SELECT 'world' AS template, id AS group_id, path FROM gw"
 CTES["sp"] = """
 SELECT d.template, d.processor_id AS start, d.processor_id AS last, [d.processor_id] AS path, []::VARCHAR[] AS rels FROM (SELECT DISTINCT template, processor_id FROM df) d
 UNION ALL SELECT s.template, s.start, e.dst, list_append(s.path, e.dst), list_append(s.rels, e.rels) FROM sp s JOIN ce e ON e.template = s.template AND e.src = s.last
-WHERE len(s.path) < 20 AND NOT list_contains(s.path, e.dst)"""
+WHERE NOT list_contains(s.path, e.dst)"""
 CTES["vf"] = """
 SELECT s.template, d.pn AS variable, s.start, s.last, s.path, s.rels FROM sp s JOIN df d ON d.template = s.template AND d.processor_id = s.start
 JOIN (SELECT DISTINCT template, variable, processor_id FROM us) u ON u.template = s.template AND u.variable = d.pn AND u.processor_id = s.last"""
@@ -537,8 +537,8 @@ oracle("legacy_prune_summary", f"""
 SELECT count(*) AS original_count, count(*) FILTER (lab IN {names(chains.LEGACY_KEPT)}) AS kept_count, count(*) FILTER (lab NOT IN {names(chains.LEGACY_KEPT)}) AS pruned_count,
   count(*) FILTER (lab = 'unknown') AS unknown_count, round(100.0::DOUBLE * count(*) FILTER (lab NOT IN {names(chains.LEGACY_KEPT)}) / count(*), 1) AS reduction_percentage FROM lc""")
 oracle("unknown_processors", """
-SELECT lc.template, lc.processor_id AS id, string_agg(pn || '=' || CASE WHEN length(pv) > 120 THEN pv[1:117] || '...' ELSE pv END, '|' ORDER BY ord) AS property_preview
-FROM lc JOIN pr USING (processor_id) WHERE lab = 'unknown' AND ord < 3 GROUP BY ALL""")
+SELECT lc.template, lc.processor_id AS id, string_agg(pn || '=' || pv, '|' ORDER BY ord) AS property_preview
+FROM lc JOIN pr USING (processor_id) WHERE lab = 'unknown' GROUP BY ALL""")
 oracle("prune_summary", f"""
 SELECT template, count(*) FILTER (category IN {names(V.ESSENTIAL_CATEGORIES)}) AS essential_count, count(*) FILTER (category = {lit(V.ORCHESTRATION)}) AS support_count,
   count(*) FILTER (category = {lit(V.INFRASTRUCTURE)}) AS infrastructure_count, count(*) FILTER (category = 'Ambiguous') AS ambiguous_count FROM rc GROUP BY template""")

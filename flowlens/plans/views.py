@@ -24,10 +24,8 @@ TYPE_PREFIX = "org.example.processors."
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table; a few small files are spread over the session's cores, larger inputs keep their splits."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """The table, read in its own splits."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _prop(name: Column | str, value: Column | str) -> Column:
@@ -204,7 +202,7 @@ def _xml(c: Column) -> Column:
 
 
 def template_documents(part: DataFrame) -> DataFrame:
-    """(path, content) per template: the processors and connections rendered as one XML document."""
+    """(template, path, content) per template: the processors and connections rendered as one XML document."""
     entry = lambda p: _text("<entry><key>", _xml(p["name"]), "</key><value>", _xml(p["value"]), "</value></entry>")
     rows = processors(part).select(
         "template", F.col("proc_ord").alias("o"), F.lit(0).alias("k"),
@@ -225,6 +223,6 @@ def template_documents(part: DataFrame) -> DataFrame:
     body = rows.unionByName(edges).unionByName(groups).groupBy("template").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "o", "x"))), lambda r: r["x"]), "").alias("body"))
     return body.select(
-        _text("memory:/", F.col("template")).alias("path"),
+        "template", _text("memory:/", F.col("template")).alias("path"),
         F.encode(_text("<template><snippet>", F.col("body"), "</snippet></template>"), "UTF-8").alias("content"),
     )

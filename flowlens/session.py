@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,7 +11,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_private_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -25,6 +25,7 @@ def local_session(cores: str = "8", app: str = "flowlens") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,12 +47,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut_dir(spark: SparkSession) -> str:
-    """This application's folder below the one the cluster names; a private one only where unset."""
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = _private_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{shared.rstrip('/')}/flowlens-{app}"
+    """This application's folder below the one the cluster names in spark.checkpoint.dir, or below the warehouse where unset."""
+    shared = shared_dir(spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
+    return f"{shared.rstrip('/')}/flowlens-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(named: str | None, warehouse: str, master: str) -> str:
+    """Folder that the driver and all executors see: a named one is taken as it is; a warehouse on a local disk serves only
+    a session that runs in one process."""
+    if named:
+        return named
+    local_disk = warehouse.startswith("file:") or "://" not in warehouse and not warehouse.startswith("hdfs:")
+    if local_disk and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {warehouse} is local")
+    return f"{warehouse.rstrip('/')}/_cuts"
 
 
 def cut_counted(df: DataFrame, where: str = "true") -> tuple[DataFrame, int]:

@@ -6,11 +6,11 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.graph import group_paths
-from flowlens.session import cut
+from flowlens.session import cut, ship
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 ELEMENTS = (
@@ -23,11 +23,19 @@ LIGHT_SCHEMA = "id string, name string, type string, config struct<comments:stri
 
 
 def template_files(spark: SparkSession, location: str, pattern: str = "*.xml") -> DataFrame:
-    """(path, length, content) of a file, a glob or a folder read recursively."""
-    return (
+    """(path, modificationTime, length, content, template) of a file, a glob or a folder read recursively."""
+    files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-        .load(location).select("path", "length", "content")
+        .load(location).select("path", "modificationTime", "length", "content")
     )
+    return files.withColumn("template", template_key(spark, location))
+
+
+def template_key(spark: SparkSession, location: str) -> Column:
+    """A file's path below ``location``, so equal names in two folders are two templates; the whole path where it is not below."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(location)
+    root = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+    return F.when(F.startswith("path", F.lit(root)), F.expr(f"substring(path, {len(root) + 1})")).otherwise(F.col("path"))
 
 
 def _text(node, path: str, default: str = "") -> str:
@@ -73,21 +81,23 @@ def _elements(content: bytes) -> Iterator[dict]:
 def shred(files: DataFrame) -> DataFrame:
     """One typed row per element of every file; a file that does not parse gives one row with the error.
 
-    The file name is the template key. This is the only place a template is parsed.
+    ``files`` has (template, path, content). This is the only place a template is parsed.
     """
+    ship(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                base = {"template": path.rsplit("/", 1)[-1], "path": path}
+            for template, path, content in zip(pdf["template"], pdf["path"], pdf["content"]):
+                base = {"template": template, "path": path}
                 try:
                     rows = [{**base, **e} for e in _elements(bytes(content))]
                     rows.append({**base, "kind": "template", "ord": 0})
-                except ET.ParseError as exc:
-                    rows = [{**base, "kind": "template", "ord": 0, "parse_error": str(exc)}]
+                except Exception as exc:  # whatever one file brings, the others are read
+                    rows = [{**base, "kind": "template", "ord": 0, "parse_error": f"{type(exc).__name__}: {exc}"}]
                 frame = pd.DataFrame(rows, columns=COLUMNS)
                 yield frame.astype(object).where(frame.notna(), None)
 
-    return files.select("path", "content").mapInPandas(run, ELEMENTS)
+    return files.select("template", "path", "content").mapInPandas(run, ELEMENTS)
 
 
 class Corpus:
@@ -135,7 +145,7 @@ class Corpus:
         return self._of("processor").join(homes, ["template", "group_id"], "left").select(
             "template", F.col("ord").alias("proc_ord"), F.col("id").alias("processor_id"), "name", "type", "comments",
             group.alias("parent_group"), F.coalesce("home_path", group).alias("parent_group_path"), "props",
-            F.col("group_id").alias("parent_group_id"), F.col("template").alias("source_file"), F.col("path").alias("source_path"),
+            F.col("group_id").alias("parent_group_id"), F.substring_index("path", "/", -1).alias("source_file"), F.col("path").alias("source_path"),
         )
 
     @property
@@ -159,6 +169,7 @@ def light_processors(spark: SparkSession, location: str) -> DataFrame:
     """id, name, type and comments through the built-in XML source (no order, no properties)."""
     return (
         spark.read.format("xml").option("rowTag", "processors").option("recursiveFileLookup", "true").schema(LIGHT_SCHEMA)
-        .load(location).select(F.col("_metadata.file_name").alias("template"), "id", "name", "type",
+        .load(location).withColumn("path", F.col("_metadata.file_path")).withColumn("template", template_key(spark, location))
+        .select("template", "id", "name", "type",
                                F.coalesce("config.comments", F.lit("")).alias("comments"))
     )

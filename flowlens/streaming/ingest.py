@@ -9,14 +9,14 @@ from pyspark.sql.utils import AnalysisException
 
 from flowlens.operators.classify import flat_rows
 from flowlens.plans.pipeline import records
-from flowlens.sources.templates import FILE_SCHEMA, Corpus, shred
+from flowlens.sources.templates import FILE_SCHEMA, Corpus, shred, template_files, template_key
 from flowlens.session import cut
 
-LEDGER_SCHEMA = "path string, checksum string, batch_id long"
+LEDGER_SCHEMA = "path string, checksum string, batch_id long, modificationTime timestamp, length long"
 
 
 def unchanged_removed(files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Files whose (path, checksum) is not in the ledger."""
+    """Files whose (path, checksum) is not in the ledger: the same content under the same path was analysed before."""
     return files.withColumn("checksum", F.sha2("content", 256)).join(
         ledger.select("path", "checksum"), ["path", "checksum"], "left_anti"
     )
@@ -37,17 +37,22 @@ def process_batch(files: DataFrame, batch_id: int, summary: str, ledger: str) ->
     corpus = Corpus(shred(fresh))
     flat_rows(records(corpus.processors, corpus.connections), corpus.templates).write.mode("overwrite").option(
         "header", "true").csv(f"{summary}/batch={batch_id}")
-    fresh.select("path", "checksum", F.lit(batch_id).cast("long").alias("batch_id")).write.mode("overwrite").parquet(
+    files.withColumn("checksum", F.sha2("content", 256)).select(
+        "path", "checksum", F.lit(batch_id).cast("long").alias("batch_id"), "modificationTime", "length").write.mode("overwrite").parquet(
         f"{ledger}/batch={batch_id}")
 
 
 def ingest(
     spark: SparkSession, location: str, summary: str, ledger: str, checkpoint: str, max_files: int = 10_000
 ) -> StreamingQuery:
-    """Start the file stream over a template folder; stops when all available files are done."""
+    """Start the file stream over a template folder and its sub-folders; stops when all available files are done.
+
+    A file stream reads a path once; ``ingest_changes`` also reads files that changed in place.
+    """
     stream = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.xml")
-        .option("maxFilesPerTrigger", max_files).load(location)
+        .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(location)
+        .withColumn("template", template_key(spark, location))
     )
     return (
         stream.writeStream.foreachBatch(lambda df, i: process_batch(df, i, summary, ledger))
@@ -55,6 +60,25 @@ def ingest(
     )
 
 
+def ingest_changes(spark: SparkSession, location: str, summary: str, ledger: str, max_files: int = 10_000) -> int:
+    """Analyse every file that is new or changed since the ledger's last entry for it; the number of such files.
+
+    The listing (path, time, length) is compared without reading any content; then only those files are read, at most
+    ``max_files`` of them at a time.
+    """
+    done = 0
+    while True:
+        known = read_ledger(spark, ledger)
+        listed = template_files(spark, location).select("path", "modificationTime", "length")
+        fresh = listed.join(known.select("path", "modificationTime", "length"), ["path", "modificationTime", "length"], "left_anti")
+        paths = [r["path"] for r in fresh.orderBy("path").limit(max_files).collect()]
+        if not paths:
+            return done
+        files = spark.read.format("binaryFile").load(paths).withColumn("template", template_key(spark, location))
+        process_batch(files, (known.agg(F.max("batch_id")).first()[0] or 0) + 1, summary, ledger)
+        done += len(paths)
+
+
 def upsert_stream(stream: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
     """Snippet rows arriving as a stream, merged into the keyed store per micro-batch."""
     from flowlens.operators.store import upsert

@@ -48,10 +48,6 @@ ALIAS_LETTERS = "abcdefghijkmpqrtuvwxyz"
 FILE_LIKE_LAST_PARTS = ["path", "file", "absolute", "sh", "py", "jar", "xml"]
 FILE_LIKE_TOKENS = [".sh", ".py", ".jar", ".class", ".xml", ".keytab", ".com", ".error", ".log", ".txt", ".csv"]
 CAPTURED_KEYWORDS = ["select", "where", "order", "group", "by", "join", "from", "when", "case", "then", "else", "end"]
-SEED_SCHEMAS = [
-    "bq", "bqa", "bws", "dia", "e3s", "e3u", "edc", "pcm", "ps", "ovl", "nts", "proc_bws",
-    "mfg_icn8_data", "mfg_icn8_staging", "mfg_icn8_apps", "mfg_icn8_temp", "nll", "nlt",
-]
 CONTROL_SCHEMAS = ["root", "absolute", "file", "text", "impala"]
 LINEAGE_SKIP_TYPES = ["updateattribute", "logmessage", "wait", "routeonattribute"]
 SQL_BEARING_TYPES = ["executesql", "putsql", "executestreamcommand", "puthiveql"]
@@ -141,7 +137,6 @@ LANGUAGE_SIGNATURES = [
     ("groovy", [r"@Grab\(", r"\bprintln\s*\(", r"groovy\."]),
     ("jolt", [r"^\s*\[?\s*\{", r'"operation"\s*:', r'"shift"']),
 ]
-LANGUAGE_WINDOW = 20000
 # Secret patterns use a real whitespace class (see README, "Decisions").
 SECRET_PATTERNS = [
     (r"\b(password|passwd|pwd|secret|token|apikey)\s*=\s*['\"]?([^'\"\s]+)['\"]?", "{1}='***'"),

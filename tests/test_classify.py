@@ -222,6 +222,10 @@ def test_snippet_store_defaults_upsert_and_reload(spark, tmp_path):
     store.upsert(spark, path, store.snippet_rows(again, "ep", 100, 2))
     got = {r["processor_id"]: (r["databricks_code"], r["batch_index"], r["code_language"]) for r in store.load(spark, path).collect()}
     assert got == {"a": ("x = 2", 2, "unknown"), "c": ("z", 2, "unknown")}
+    twice = spark.createDataFrame([("a", "t", f"x = {i}", 0.9) for i in range(5)], schema).coalesce(1)
+    assert store.upsert(spark, path, store.snippet_rows(twice, "ep", 100, 3)).filter("processor_id = 'a'").first()["databricks_code"] == "x = 4"
+    spark.range(1).write.parquet(path + "/gen-99999999999999999999-lost")  # a generation whose pointer was never written
+    assert store.load(spark, path).count() == 2
 
 
 def test_legacy_ladder_on_commands(make_processors):
@@ -229,13 +233,14 @@ def test_legacy_ladder_on_commands(make_processors):
     p = make_processors([
         cmd("text", "grep x"), cmd("zip", "gzip a"), cmd("check", "echo a"), cmd("move", "/bin/mv a b"),
         cmd("dml", "impala-shell", query_1="INSERT INTO a"), cmd("meta", "impala-shell", query_1="REFRESH a"), cmd("none", "run"),
-        ("t", "spark", "x", "com.nxpexecutesparkjob", "Root", {}), ("t", "gen", "x", "com.dategen", "Root", {}), ("t", "own", "x", "com.acme.Y", "Root", {}),
+        ("t", "spark", "x", "com.acmesparkjob", "Root", {}), ("t", "gen", "x", "com.dategen", "Root", {}), ("t", "own", "x", "com.acme.Y", "Root", {}),
     ])
-    got = by_id(legacy.legacy_classify(p), "legacy_rule")
+    site = legacy.SiteWords(spark_types=("acmesparkjob",), hql_types=("acmehql",))
+    got = by_id(legacy.legacy_classify(p, site), "legacy_rule")
     assert {k: v[0] for k, v in got.items()} == {
         "text": "text_tools", "zip": "compression", "check": "validation", "move": "file_ops", "dml": "sql_dml", "meta": "sql_metadata",
         "none": None, "spark": "custom_spark", "gen": "custom_utility", "own": "custom_processing"}
-    assert by_id(legacy.classify_distinct(p), "legacy_rule") == got
+    assert by_id(legacy.classify_distinct(p, site), "legacy_rule") == got
 
 
 def test_filters(spark):

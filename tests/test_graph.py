@@ -1,7 +1,11 @@
 import random
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from flowlens.operators import chains, graph, variables
+from flowlens.session import shared_dir
 
 
 def random_graph(seed, n=14, m=22, acyclic=True):
@@ -165,3 +169,28 @@ def test_flows_include_the_definer_and_split_parallel_edges(spark, make_connecti
     assert got == [("a",), ("a", "b"), ("a", "b")]
     hops = variables.hop_pairs(variables.flows(p, c)).collect()
     assert {(r["from_processor"], r["to_processor"], tuple(r["relationships"])) for r in hops} == {("a", "b", ("success",))}
+
+
+def test_group_paths_of_any_depth_and_of_cycles(spark):
+    chain = [("t", str(i), f"n{i}", str(i - 1) if i else None) for i in range(200)]
+    rows = [*chain, ("t", "x", "X", "y"), ("t", "y", "Y", "x"), ("t", "z", "Z", "z")]
+    found = {r["group_id"]: r["path"] for r in graph.group_paths(
+        spark.createDataFrame(rows, "template string, group_id string, name string, parent_id string")).collect()}
+    assert found["199"] == "/".join(f"n{i}" for i in range(200))
+    assert (found["x"], found["y"], found["z"]) == ("X", "Y", "Z")
+
+
+def test_simple_paths_have_no_length_limit(spark, make_connections):
+    edges = graph.edges_of(make_connections([("t", f"p{i}", f"p{i + 1}") for i in range(60)])).withColumn("relationships", F.array(F.lit("success")))
+    starts = spark.createDataFrame([("t", "p0")], "template string, start string")
+    longest = graph.simple_paths(edges, starts).agg(F.max(F.size("path"))).first()[0]
+    assert longest == 61
+
+
+def test_cut_folder_must_be_shared():
+    assert shared_dir("s3a://b/x", "file:/w", "yarn") == "s3a://b/x"
+    assert shared_dir(None, "file:/w/", "local[8]") == "file:/w/_cuts"
+    assert shared_dir(None, "hdfs://n/w", "yarn") == "hdfs://n/w/_cuts"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(None, "file:/w", master)

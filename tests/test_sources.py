@@ -5,7 +5,7 @@ from flowlens.operators import chains, ddl, lineage, patterns, tables
 from flowlens.plans import pipeline
 from flowlens.sources import files
 from flowlens.sources.templates import Corpus, light_processors
-from flowlens.streaming.ingest import ingest, read_ledger
+from flowlens.streaming.ingest import ingest, ingest_changes, read_ledger
 
 PROC = """<processors><id>{id}</id><name>{name}</name><type>org.x.{kind}</type><parentGroupId>{group}</parentGroupId><config><comments> note </comments>
 <descriptors><entry><key>Hidden</key><value>1</value></entry></descriptors><properties>{props}</properties></config></processors>"""
@@ -38,7 +38,7 @@ def test_shred(spark, folder):
     corpus = Corpus.read(spark, str(folder / "in"))
     assert [r["template"] for r in corpus.errors.collect()] == ["bad.xml"]
     rows = {(r["template"], r["processor_id"]): r for r in corpus.processors.collect()}
-    assert set(rows) == {("a.xml", "p1"), ("a.xml", "p2"), ("b.xml", "p1"), ("b.xml", "p2")}
+    assert set(rows) == {("a.xml", "p1"), ("a.xml", "p2"), ("sub/b.xml", "p1"), ("sub/b.xml", "p2")}
     p1, p2 = rows["a.xml", "p1"], rows["a.xml", "p2"]
     assert (p1["parent_group"], p1["parent_group_path"], p1["comments"]) == ("Inner", "Outer/Inner", "note")
     assert [(x["name"], x["value"]) for x in p1["props"]][1] == ("Empty", None) and len(p1["props"]) == 2
@@ -46,7 +46,7 @@ def test_shred(spark, folder):
     assert [(r["connection_id"], r["relationships"]) for r in corpus.connections.filter("template = 'a.xml'").collect()] == [("c1", ["success"])]
     assert corpus.ports.filter("template = 'a.xml'").first()["kind"] == "INPUT_PORT"
     counts = {r["template"]: (r["processor_count"], r["connection_count"]) for r in corpus.templates.collect()}
-    assert counts == {"a.xml": (2, 1), "b.xml": (2, 1), "bad.xml": (0, 0)}
+    assert counts == {"a.xml": (2, 1), "sub/b.xml": (2, 1), "bad.xml": (0, 0)}
     assert patterns.service_map(corpus.services).first()["source_detail"] == "Hive: h:1/d"
     with pytest.raises(ValueError):
         Corpus.read(spark, str(folder / "in"), fail_fast=True)
@@ -99,10 +99,39 @@ def test_stream_skips_unchanged_files(spark, folder):
     run = lambda: ingest(spark, location, out + "/summary", out + "/ledger", out + "/chk").awaitTermination()
     count = lambda: spark.read.option("header", "true").option("recursiveFileLookup", "true").csv(out + "/summary").count()
     run()
-    assert count() == 2 and read_ledger(spark, out + "/ledger").count() == 2
+    assert count() == 4 and read_ledger(spark, out + "/ledger").count() == 3
     (folder / "in" / "c.xml").write_text(template())
     run()
-    assert count() == 4
+    assert count() == 6
+
+
+def test_changed_and_nested_files_are_read_again(spark, folder):
+    location, out = str(folder / "in"), str(folder / "out")
+    run = lambda: ingest_changes(spark, location, out + "/summary", out + "/ledger", max_files=2)
+    assert run() == 3 and run() == 0
+    (folder / "in" / "team").mkdir()
+    (folder / "in" / "team" / "a.xml").write_text(template())
+    (folder / "in" / "b.xml").write_text(template() + " ")
+    assert run() == 2 and run() == 0
+    assert read_ledger(spark, out + "/ledger").count() == 5
+
+
+def test_equal_names_repeated_ids_and_bad_encodings(spark, tmp_path):
+    for team in ("x", "y"):
+        (tmp_path / "in" / team).mkdir(parents=True)
+        (tmp_path / "in" / team / "flow.xml").write_text(template())
+    twice = "".join(PROC.format(id="", name="Set", kind="UpdateAttribute", group="none",
+                                props=f"<entry><key>tbl</key><value>db.t{i}</value></entry>") for i in (1, 2))
+    (tmp_path / "in" / "ids.xml").write_text(f"<template><snippet>{twice}</snippet></template>")
+    (tmp_path / "in" / "odd.xml").write_text('<?xml version="1.0" encoding="no-such"?><template/>')
+    corpus = Corpus.read(spark, str(tmp_path / "in"))
+    assert {r["template"] for r in corpus.processors.select("template").distinct().collect()} == {"x/flow.xml", "y/flow.xml", "ids.xml"}
+    assert {r["source_file"] for r in corpus.processors.filter("template LIKE '%flow.xml'").collect()} == {"flow.xml"}
+    assert [r["template"] for r in corpus.errors.collect()] == ["odd.xml"]
+    tables.table_refs(corpus.processors, corpus.connections).collect()
+    maps = tables.variable_maps(corpus.processors.withColumn("props", F.concat("props", F.array(F.struct(
+        F.lit(9).alias("ord"), F.lit("use").alias("name"), F.lit("${tbl}").alias("value"))))), corpus.connections)
+    assert {r["template"]: r["values"] for r in maps.collect()}["ids.xml"] == {"tbl": "db.t2"}
 
 
 DDL = """%sql
