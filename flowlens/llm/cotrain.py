@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -213,6 +214,15 @@ def _features(df: DataFrame, id_col: str, text_col: str, metadata: list[str]) ->
         .mapInArrow(make, "doc_id long, content array<string>, metadata array<string>, sketch array<long>")
 
 
+def _collected(features: DataFrame) -> list[dict]:
+    """The rows of a bounded sample, equal features held once."""
+    rows = []
+    for batch in features.toArrow().to_batches(max_chunksize=256):
+        for r in batch.to_pylist():
+            rows.append(r | {c: set(map(sys.intern, r[c])) for c in ("content", "metadata")})
+    return rows
+
+
 def _share(df: DataFrame, id_col: str, most: int, seed: str) -> DataFrame:
     """All rows, or about ``most`` of them by a hash of the id."""
     n = df.count()
@@ -233,10 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 30
     chosen = _share(worst, "label_id", labelled, "labelled")
     key = F.col(id_col).cast("long")
     with_label = _features(docs.join(chosen.select("label_id"), key == F.col("label_id"), "left_semi"), id_col, text_col, metadata)
-    rows = with_label.join(chosen, with_label.doc_id == chosen.label_id).select("content", "metadata", "sketch", *TARGETS).toArrow().to_pylist()
-    others = _features(_share(docs, id_col, pool, "pool"), id_col, text_col, metadata).select("content", "metadata", "sketch").toArrow().to_pylist()
-    sets = [(set(r["content"]), set(r["metadata"])) for r in rows]
-    unlabelled = [(set(r["content"]), set(r["metadata"])) for r in others]
+    rows = _collected(with_label.join(chosen, with_label.doc_id == chosen.label_id).select("content", "metadata", "sketch", *TARGETS))
+    others = _collected(_features(_share(docs, id_col, pool, "pool"), id_col, text_col, metadata).select("content", "metadata", "sketch"))
+    sets, unlabelled = ([(r["content"], r["metadata"]) for r in x] for x in (rows, others))
     sketches = [r["sketch"] for r in rows + others]
     models = {}
     for target in TARGETS:

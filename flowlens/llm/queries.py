@@ -53,4 +53,27 @@ QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_substring_dedup, op3_simhash_near_duplicates, op4_lm_scores, op5_token_file, op6_token_counts, op7_benchmark_decontamination, op8_nearest_neighbours, op9_quality_classifier, op10_best_fit_packing,
 )}
 
-ORACLES: dict[str, str] = {}
+#: SQL of the queries that it can express. The others hash with XXH64, encode, learn or search: tests hold them against brute
+#: force, exact round trips or held-out rows.
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i : i + 34], ' ') AS g FROM w, unnest(range(1, len(words) - 33)) AS r(i)),
+again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT j) AS places FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM win SEMI JOIN again USING (g)) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(words) AS n, coalesce(len(places), 0) AS removed,
+  CASE WHEN places IS NULL THEN words ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)), lambda i: words[i]) END AS left_over
+  FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n AS n_words, removed AS n_removed, sha256(coalesce(array_to_string(left_over, ' '), '')) AS kept_sha256 FROM kept""",
+    "op7_benchmark_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM benchmark),
+bi AS (SELECT item_id, w, least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM bi, unnest(range(1, len(w) - k + 2)) AS r(i)),
+ks AS (SELECT DISTINCT k FROM bi),
+dg AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM d, ks, unnest(range(1, len(w) - k + 2)) AS r(i)),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN bs USING (k, g) GROUP BY doc_id, item_id) JOIN n USING (item_id)
+WHERE n_shared >= 0.8 * n_item - 1e-9""",
+}
