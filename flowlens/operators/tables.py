@@ -21,15 +21,21 @@ REFS = (
 
 
 def variable_maps(processors: DataFrame, connections: DataFrame) -> DataFrame:
-    """Per processor, the resolved values of just the variables its own properties mention."""
-    values = resolve_variables(variables.literals(variables.definitions(processors)), connections, processors)
-    needed = (
+    """Per processor, the resolved values of just the variables its own properties mention.
+
+    Only variables that some property of the template mentions are resolved at all.
+    """
+    needed = cut(
         variables.properties(processors)
         .filter(F.col("prop_value").contains("${"))
         .select("template", "processor_id", F.explode(el_bodies(F.col("prop_value"))).alias("body"))
         .select("template", "processor_id", el_key(F.col("body")).alias("variable"))
         .distinct()
     )
+    literals = variables.literals(variables.definitions(processors)).join(
+        needed.select("template", "variable").distinct(), ["template", "variable"], "left_semi"
+    ).select("template", "processor_id", "variable", "value")
+    values = resolve_variables(literals, connections, processors)
     return values.join(needed, ["template", "processor_id", "variable"]).groupBy("template", "processor_id").agg(
         F.map_from_entries(F.collect_list(F.struct("variable", "value"))).alias("values")
     )
@@ -43,7 +49,7 @@ def resolved_properties(processors: DataFrame, connections: DataFrame) -> DataFr
     return (
         props.join(maps, ["template", "processor_id"], "left")
         .withColumn("prop_value", strip(F.col("prop_value")))
-        .withColumn("prop_value", resolve_el(F.col("prop_value"), F.coalesce("values", empty)))
+        .withColumn("prop_value", resolve_el(F.col("prop_value"), F.coalesce("values", empty), passes=1))  # values hold no ${
         .drop("values")
     )
 
