@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowlens import vocab as V
 from flowlens.functions.text import strip
 
+BUCKETS = 64
 SUMMARY_SCHEMA = ", ".join(
     f"{c} " + ("double" if c == "confidence" else "boolean" if c in ("sql_has_dml", "sql_has_metadata_only", "uses_variables")
                else "int" if c.endswith("_count") else "string")
@@ -15,9 +17,18 @@ SUMMARY_SCHEMA = ", ".join(
 )
 
 
-def saved_records(spark: SparkSession, location: str) -> DataFrame:
-    """Classification records of many result documents, tagged with their template."""
-    docs = spark.read.option("multiLine", "true").option("pathGlobFilter", "*.json").json(location)
+def saved_records(spark: SparkSession, location: str, schema: StructType | None = None) -> DataFrame:
+    """Classification records: of result documents, tagged with their template, or of what ``write_template_json`` wrote.
+
+    ``schema`` is that of the written records; without it types are inferred.
+    """
+    reader = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true")
+    if schema is not None:
+        return reader.schema(schema).json(location)
+    rows = reader.json(location)
+    if "template" in rows.columns and "classifications" not in rows.columns and "_corrupt_record" not in rows.columns:
+        return rows
+    docs = reader.option("multiLine", "true").json(location)
     template = F.col("_metadata.file_name")
     if "workflow" in docs.columns:
         template = F.coalesce("workflow.filename", template)
@@ -25,8 +36,19 @@ def saved_records(spark: SparkSession, location: str) -> DataFrame:
 
 
 def saved_template(spark: SparkSession, location: str, template: str) -> DataFrame:
-    """One template's rows of a partitioned result (only its folder is read)."""
-    return spark.read.json(location).filter(F.col("template") == template)
+    """One template's rows of what ``write_template_json`` wrote (only its bucket's folder is read)."""
+    return spark.read.json(location).filter((F.col("bucket") == bucket_of(F.lit(template))) & (F.col("template") == template)).drop("bucket")
+
+
+def bucket_of(template: Column) -> Column:
+    return F.pmod(F.hash(template), F.lit(BUCKETS))
+
+
+def with_sources(rows: DataFrame, processors: DataFrame) -> DataFrame:
+    """Adds the file, path and group that each row's processor stands in."""
+    tags = processors.select("template", "processor_id", "source_file", "source_path", F.col("parent_group").alias("processor_group"))
+    own = [c for c in rows.columns if c not in ("source_file", "source_path", "processor_group")]
+    return rows.select(*own).join(tags.dropDuplicates(["template", "processor_id"]), ["template", "processor_id"], "left")
 
 
 def summary_csv(spark: SparkSession, location: str) -> DataFrame:
@@ -45,7 +67,9 @@ def ddl_files(spark: SparkSession, file: str | None = None, folder: str | None =
 
 
 def write_template_json(records: DataFrame, location: str, mode: str = "overwrite") -> None:
-    records.write.mode(mode).partitionBy("template").json(location)
+    """One JSON row for each record, in a folder for each bucket of templates, so many templates don't make many folders."""
+    records.withColumn("bucket", bucket_of(F.col("template"))).hint("rebalance", "bucket").write.mode(mode).option(
+        "ignoreNullFields", "false").partitionBy("bucket").json(location)
 
 
 def write_summary_csv(flat: DataFrame, location: str, append: bool = False) -> None:
@@ -54,14 +78,17 @@ def write_summary_csv(flat: DataFrame, location: str, append: bool = False) -> N
         rows.write.mode("append" if append else "overwrite").option("header", "true").csv(location)
 
 
-def write_table_refs_csv(refs: DataFrame, location: str) -> None:
+def write_table_refs_csv(refs: DataFrame, location: str, processors: DataFrame | None = None) -> None:
+    """The fixed columns first, then the rest. ``processors`` gives the source tags that the references lack."""
+    refs = refs if processors is None else with_sources(refs, processors)
     first = [c for c in V.TABLE_REF_COLUMNS if c in refs.columns]
     refs.select(*first, *[c for c in refs.columns if c not in first]).write.mode("overwrite").option("header", "true").csv(location)
 
 
-def write_scripts_csv(items: DataFrame, location: str) -> None:
-    items.select("template", "processor_id", "processor_name", "processor_type", "script_type",
-                 F.coalesce("path", "property_name").alias("script")).write.mode("overwrite").option("header", "true").csv(location)
+def write_scripts_csv(items: DataFrame, location: str, processors: DataFrame | None = None) -> None:
+    """The six fixed columns; ``source`` tells external scripts from inline ones."""
+    rows = items.withColumn("source_file", F.col("template")) if processors is None else with_sources(items, processors)
+    rows.withColumn("source", F.col("kind")).select(*V.SCRIPT_COLUMNS).write.mode("overwrite").option("header", "true").option("escape", '"').csv(location)
 
 
 def write_lineage_csv(report: DataFrame, location: str) -> None:

@@ -220,8 +220,10 @@ SUMMARY_COLUMNS = [
     "scripts_external_count", "uses_variables", "incoming_count", "outgoing_count",
 ]
 TABLE_REF_COLUMNS = [
-    "table_name", "processor_name", "processor_type", "property_name", "processor_id", "source_file", "source_path",
+    "source_file", "source_path", "table_name", "processor_name", "processor_type", "processor_id", "processor_group",
+    "property_name",
 ]
+SCRIPT_COLUMNS = ["source_file", "processor_name", "processor_id", "script_type", "source", "property_name"]
 DEPENDENCY_NAME_WORDS = ["Add Queries", "Add Configuration", "Add Variables", "States", "Steps"]
 
 # --- Fixed values: the shipped ordered rulebook ------------------------------------------

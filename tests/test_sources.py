@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import chains, ddl, lineage, patterns, tables
+from flowlens import vocab as V
+from flowlens.operators import chains, ddl, lineage, patterns, scripts, tables
 from flowlens.plans import pipeline
 from flowlens.sources import files
 from flowlens.sources.templates import Corpus, light_processors
@@ -77,6 +78,13 @@ def test_pipelines_and_sinks(spark, folder):
     assert files.summary_csv(spark, out + "/summary").count() == 8
     files.write_template_json(plan["classifications"], out + "/json")
     assert files.saved_template(spark, out + "/json", "a.xml").count() == 2
+    back = files.saved_records(spark, out + "/json", plan["classifications"].schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, plan["classifications"].collect())) and back.count() == 4
+    files.write_table_refs_csv(refs, out + "/refs", p)
+    row = spark.read.option("header", "true").csv(out + "/refs").filter("source_file = 'b.xml'").first()
+    assert list(row.asDict())[:8] == V.TABLE_REF_COLUMNS and row["source_path"].endswith("sub/b.xml") and row["processor_group"] == "Inner"
+    files.write_scripts_csv(scripts.script_items(p), out + "/scripts", p)
+    assert [f.name for f in (folder / "out" / "scripts").iterdir()]
     with pytest.raises(ValueError):
         files.write_matrix_csv(plan["flat"].limit(0), out + "/matrix")
 
