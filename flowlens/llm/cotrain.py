@@ -34,6 +34,8 @@ KIND_OF = np.full(256, len(KINDS), np.int64)
 for _at, _bytes in enumerate(KINDS.values()):
     KIND_OF[list(_bytes)] = _at
 SHARE_STEPS = (0.0, 0.005, 0.01, 0.02, 0.04, 0.08, 0.12, 0.16, 0.2, 0.3, 0.5, 0.8, 1.0)
+#: Rows (groups of copies) that a feature with a weight needs.
+LEAST = 5
 #: Without any label nothing is rejected.
 WITHOUT_LABELS = {"quality": 0.999, "toxic": 0.001}
 SKETCHES, BAND = 12, 3
@@ -91,7 +93,7 @@ def metadata_features(text: str, given: dict[str, object]) -> set[str]:
     return found
 
 
-def fit_weights(rows: list[set[str]], groups: list[int], labels: np.ndarray, least: int = 5, z: float = 4.0) -> dict[str, float]:
+def fit_weights(rows: list[set[str]], groups: list[int], labels: np.ndarray, least: int = LEAST, z: float = 4.0) -> dict[str, float]:
     """Naive Bayes log odds of the features that tell the labels apart; copies in one group count once for a feature."""
     whole: dict[tuple[int, int], set[str]] = {}
     for features, group, y in zip(rows, groups, labels.tolist(), strict=True):
@@ -214,13 +216,21 @@ def _features(df: DataFrame, id_col: str, text_col: str, metadata: list[str]) ->
         .mapInArrow(make, "doc_id long, content array<string>, metadata array<string>, sketch array<long>")
 
 
-def _collected(features: DataFrame) -> list[dict]:
-    """The rows of a bounded sample, equal features held once."""
-    rows = []
-    for batch in features.toArrow().to_batches(max_chunksize=256):
-        for r in batch.to_pylist():
-            rows.append(r | {c: set(map(sys.intern, r[c])) for c in ("content", "metadata")})
-    return rows
+def _collected(tables: list[pa.Table], least: int = LEAST) -> list[list[dict]]:
+    """The rows of bounded samples, without features that fewer than ``least`` of all rows have: none of them gets a weight.
+
+    Rows are counted in hashed slots, so what is only seen once or twice is never held; equal features are held once.
+    """
+    slots = np.zeros(1 << 22, np.int32)
+    mask = len(slots) - 1
+    batches = [table.to_batches(max_chunksize=256) for table in tables]
+    for table in batches:
+        for batch in table:
+            for c in ("content", "metadata"):
+                for features in batch.column(c).to_pylist():
+                    np.add.at(slots, np.fromiter((hash(x) & mask for x in features), np.int64, len(features)), 1)
+    return [[r | {c: {sys.intern(x) for x in r[c] if slots[hash(x) & mask] >= least} for c in ("content", "metadata")}
+             for batch in table for r in batch.to_pylist()] for table in batches]
 
 
 def _share(df: DataFrame, id_col: str, most: int, seed: str) -> DataFrame:
@@ -243,8 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 30
     chosen = _share(worst, "label_id", labelled, "labelled")
     key = F.col(id_col).cast("long")
     with_label = _features(docs.join(chosen.select("label_id"), key == F.col("label_id"), "left_semi"), id_col, text_col, metadata)
-    rows = _collected(with_label.join(chosen, with_label.doc_id == chosen.label_id).select("content", "metadata", "sketch", *TARGETS))
-    others = _collected(_features(_share(docs, id_col, pool, "pool"), id_col, text_col, metadata).select("content", "metadata", "sketch"))
+    known = with_label.join(chosen, with_label.doc_id == chosen.label_id).select("content", "metadata", "sketch", *TARGETS).toArrow()
+    others = _features(_share(docs, id_col, pool, "pool"), id_col, text_col, metadata).select("content", "metadata", "sketch").toArrow()
+    rows, others = _collected([known, others])
     sets, unlabelled = ([(r["content"], r["metadata"]) for r in x] for x in (rows, others))
     sketches = [r["sketch"] for r in rows + others]
     models = {}
