@@ -223,7 +223,7 @@ def promote(records: DataFrame, cascade: bool = True, require_downstream: bool =
 def _apply_promotion(records: DataFrame, reasons: DataFrame) -> DataFrame:
     rows = records.join(reasons, KEY, "left")
     hit = F.col("vars").isNotNull()
-    reason = F.concat(
+    reason = F.concat(  # fixed values: the sentence is part of the result
         F.lit("Promoted from "), F.col("migration_category"), F.lit(" after detecting variables "),
         F.array_join("vars", ", "), F.lit(" consumed by downstream processors "), F.array_join("names", ", "), F.lit("."),
     )

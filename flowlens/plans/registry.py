@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens import vocab as V
-from flowlens.functions import code, scoring, sqltext, text
+from flowlens.functions import code, scoring, text
 from flowlens.operators import (
     batching, chains, classify, ddl, features, filters, graph, legacy, lineage, patterns, profiles, reports, scripts, store,
     tables, variables,
