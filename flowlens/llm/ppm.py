@@ -1,11 +1,15 @@
 """LM scoring by prediction by partial matching: a byte-context trie, escapes, symbol exclusion.
 
 A text is its tokens: words of bytes, each closed by a blank, then one end symbol. The next byte is predicted from up to
-``ORDER`` bytes before it in the same token (the start of a token is a context of its own): the longest context seen in
-training gives its probability; a context that has not seen the byte gives an escape (method C: distinct bytes over
-occurrences plus distinct bytes) and hands over to the next shorter one, where the bytes of the longer context are excluded.
+``ORDER`` bytes before it: the longest context seen in training gives its probability; a context that has not seen the byte
+gives an escape (method C: distinct bytes over occurrences plus distinct bytes) and hands over to the next shorter one, where
+the bytes of the longer context are excluded.
 
-Contexts end at a token's start, so equal tokens have equal code lengths and the trie's counts are sums over distinct words:
+With ``across`` a context is any bytes of the text, those of the words before and their blanks included, and only the text's
+start ends it. Every task sums up the events (context and byte in one long) of its texts' whole streams before they are dealt;
+step 3 below gives their scores, and each text adds up those of its own stream.
+
+Otherwise contexts end at a token's start, so equal tokens have equal code lengths and the trie's counts are sums over distinct words:
 
 1. words of all documents are counted (all words; training counts);
 2. every distinct word adds its byte events (context and byte in one long) to the trie's counts;
@@ -13,13 +17,14 @@ Contexts end at a token's start, so equal tokens have equal code lengths and the
    counts at most) go to every task;
 4. each word's events are summed up to its log-probability, and each document's words to its own.
 
-Steps 4 look up a table that grows with the corpus. Its most frequent entries, up to a fixed number, go to every task; all
+Step 4, and the streams, look up a table that grows with the corpus. Its most frequent entries, up to a fixed number, go to every task; all
 others are joined. So nothing unbounded is broadcast, and hot keys are settled where they are read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import chunks, row_numbers, text_rows, texts_of
+from flowlens.llm.common import CHUNK_BYTES, chunks, row_numbers, text_rows, texts_of
 from flowlens.session import cut
 
 ORDER = 5
@@ -37,6 +42,10 @@ CLOSE, END = b" ", b"\n"
 SYMBOLS = 252
 #: Entries of a table that go to every task, and the longest word among them.
 HEAD_WORDS, HEAD_EVENTS, HEAD_BYTES = 1 << 19, 1 << 18, 64
+#: The same for events of whole streams.
+HEAD_STREAM = 1 << 20
+#: Bytes of a stream looked at together, and distinct events that a task holds before it hands them on.
+STRETCH, EVENTS_AT_ONCE = 1 << 18, 2_000_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Distinct words that a task counts before it hands them on.
 COUNTED_AT_ONCE = 300_000
@@ -44,12 +53,15 @@ COUNTED_AT_ONCE = 300_000
 
 @dataclass
 class Model:
-    """words: (word, c, logp); totals of training tokens and their kinds; the most frequent words."""
+    """words: (word, c, logp); totals of training tokens and their kinds; the most frequent words. With contexts across words
+    the words' logp is 0, and events are (event, c, logp) and the most frequent (event, logp), those last."""
 
     words: DataFrame
     train_tokens: int
     kinds: int
     head: dict[bytes, tuple[int, float]]
+    events: DataFrame | None = None
+    event_head: tuple[np.ndarray, np.ndarray] | None = None
 
     def base_denominator(self) -> float:
         return self.train_tokens + 0.5 * (self.kinds + 1)
@@ -72,6 +84,24 @@ def events_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return events, np.repeat(np.arange(len(words)), sizes)
 
 
+def stretches(streams: list[bytes], most: int = STRETCH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first stream, where it and the next ones begin, event of every byte) of stretches of streams, none of them empty."""
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+    starts = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(streams), np.uint8)
+    for a in range(0, len(flat), most):
+        b, before = min(a + most, len(flat)), max(0, a - ORDER)
+        part = flat[before:b].astype(np.uint64)
+        events = part.copy()
+        for k in range(1, ORDER + 1):
+            events[k:] |= part[:-k] << np.uint64(8 * k)
+        events = events[a - before :]
+        for k in range(ORDER):
+            at = starts[sizes > k] + k
+            events[at[(at >= a) & (at < b)] - a] &= np.uint64((1 << 8 * (k + 1)) - 1)
+        yield int(np.searchsorted(starts, a, "right")) - 1, np.append(0, starts[(starts > a) & (starts < b)] - a), events
+
+
 def _count_words(rows: DataFrame) -> DataFrame:
     """(word, c): every token of all texts with its count in training texts."""
 
@@ -109,6 +139,40 @@ def _event_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(count, "event long, c long").groupBy("event").agg(F.sum("c").alias("c"))
 
 
+def _stream_counts(rows: DataFrame) -> DataFrame:
+    """(event, c): every event of all texts' streams with its count in training texts, summed up in the task first."""
+
+    def summed(parts):
+        kinds, at = np.unique(np.concatenate([e for e, _ in parts]), return_inverse=True)
+        return kinds, np.bincount(at, np.concatenate([c for _, c in parts]), len(kinds)).astype(np.int64)
+
+    def batch_of(kinds, c):
+        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(c)], ["event", "c"])
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            texts, train = texts_of(batch), batch.column("train").to_pylist()
+            for a, b in chunks(texts):
+                for use in (True, False):
+                    streams = [CLOSE.join(tokens_of(x)) for x, t in zip(texts[a:b], train[a:b], strict=True) if t == use]
+                    for _, _, events in stretches(streams):
+                        events.sort()
+                        first = np.flatnonzero(np.append(True, events[1:] != events[:-1]))
+                        held.append((events[first], np.diff(np.append(first, len(events))) * use))
+                        size += len(first)
+                        if size > EVENTS_AT_ONCE:
+                            held = [summed(held)]
+                            size = len(held[0][0])
+                            if size > EVENTS_AT_ONCE // 2:
+                                yield batch_of(*held[0])
+                                held, size = [], 0
+        if held:
+            yield batch_of(*summed(held))
+
+    return rows.mapInArrow(count, "event long, c long").groupBy("event").agg(F.sum("c").alias("c"))
+
+
 def event_scores(events: np.ndarray, c: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """log10 probability of each event's byte after its context.
 
@@ -214,42 +278,94 @@ def _word_scores(words: DataFrame, events: DataFrame) -> DataFrame:
     return scored.join(rest, "row", "left").select("word", "c", (F.col("logp") + F.coalesce("more", F.lit(0.0))).alias("logp"))
 
 
+class Lookup:
+    """Scores of events: one slot for each hash, that of its last event; the others by bisection."""
+
+    def __init__(self, events: np.ndarray, logp: np.ndarray):
+        self.events, self.logp = (np.append(x, y) for x, y in ((events, np.uint64((1 << 64) - 1)), (logp, 0.0)))
+        bits = max(1, (2 * len(events)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slot = np.full(1 << bits, len(events), np.int32)
+        self.slot[self._hash(events)] = np.arange(len(events))
+        rest = np.flatnonzero(self.events[self.slot[self._hash(events)]] != events)
+        rest = rest[np.argsort(events[rest])]
+        self.more, self.more_logp = events[rest], logp[rest]
+
+    def _hash(self, events):
+        return (events * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score of each event, 0 where unknown; places of the unknown ones)"""
+        at = self.slot[self._hash(events)]
+        score = self.logp[at]
+        other = np.flatnonzero(self.events[at] != events)
+        score[other] = 0
+        if len(self.more):
+            at = np.minimum(np.searchsorted(self.more, events[other]), len(self.more) - 1)
+            there = self.more[at] == events[other]
+            score[other[there]] = self.more_logp[at[there]]
+            other = other[~there]
+        return score, other
+
+
 def in_training(doc_id) -> F.Column:
     """A row without an id is a training row."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 5 != 1
 
 
-def train(rows: DataFrame) -> Model:
-    """Model of (text, train) rows: learned from those with ``train``, with the words of all scored."""
+def train(rows: DataFrame, across: bool = False) -> Model:
+    """Model of (text, train) rows: learned from those with ``train``, with the words (``across``: events) of all scored."""
     words = cut(_count_words(rows))
-    events = cut(_scored_events(_event_counts(words)))
-    scored = cut(_word_scores(words, events))
+    events = cut(_scored_events(cut(_stream_counts(rows)) if across else _event_counts(words)))
+    scored = words.withColumn("logp", F.lit(0.0)) if across else cut(_word_scores(words, events))
     totals = scored.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     head = _head(scored, HEAD_WORDS).where(F.length("word") <= HEAD_BYTES).toArrow()
     columns = (head.column(c).to_pylist() for c in ("word", "c", "logp"))
-    return Model(scored, totals["n"], totals["v"], {w: (c, p) for w, c, p in zip(*columns, strict=True)})
+    model = Model(scored, totals["n"], totals["v"], {w: (c, p) for w, c, p in zip(*columns, strict=True)})
+    if across:
+        head = _head(events, HEAD_STREAM).toArrow()
+        event, c, logp = (head.column(x).to_numpy() for x in ("event", "c", "logp"))
+        order = np.argsort(c)
+        model.events, model.event_head = events, (event[order].astype(np.uint64), logp[order])
+    return model
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, train, n_tokens, n_known, base_score, score) of (doc_id, text, train) rows whose words the model has."""
+    """(doc_id, train, n_tokens, n_known, base_score, score) of (doc_id, text, train) rows whose words (events) the model has."""
     below = model.base_denominator()
     spark = rows.sparkSession
-    head = spark.sparkContext.broadcast(model.head)
+    words = {w: (c > 0, float(np.log10((c + 0.5) / below)), p) for w, (c, p) in model.head.items()}
+    head, event_head = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(model.event_head)
+
+    def of_streams(tokens, lookup):
+        """Score of each text's stream, and its events that are not in the lookup."""
+        own, far = np.zeros(len(tokens)), [[] for _ in tokens]
+        for first, starts, events in stretches([CLOSE.join(t) for t in tokens]):
+            score, unknown = lookup.of(events)
+            own[first : first + len(starts)] += np.add.reduceat(score, starts)
+            for i, event in zip((first + np.searchsorted(starts, unknown, "right") - 1).tolist(), events[unknown].tolist(), strict=True):
+                far[i].append(event)
+        return own.tolist(), far
 
     def add(batches):
         number = row_numbers()
-        known = {w: (c > 0, float(np.log10((c + 0.5) / below)), p) for w, (c, p) in head.value.items()}
+        known = head.value
         none = (False, 0.0, 0.0)
+        lookup = Lookup(*event_head.value) if event_head.value else None
         for batch in batches:
-            out, rest, bounds = [], [], [0]
-            for text in texts_of(batch):
-                tokens = tokens_of(text)
-                found = [known.get(t, none) for t in tokens]
-                seen, base, own = map(sum, zip(*found, strict=True))
-                tail = Counter([t for t, f in zip(tokens, found, strict=True) if f is none])
-                rest += tail.items()
-                bounds.append(len(rest))
-                out.append((next(number), len(tokens), seen, base, own))
+            out, rest, bounds, far = [], [], [0], []
+            texts = texts_of(batch)
+            for a, b in chunks(texts, CHUNK_BYTES // 4):
+                cut_up = [tokens_of(x) for x in texts[a:b]]
+                owns, unknown = of_streams(cut_up, lookup) if lookup else ([0.0] * (b - a), [[]] * (b - a))
+                far += unknown
+                for tokens, stream in zip(cut_up, owns, strict=True):
+                    found = [known.get(t, none) for t in tokens]
+                    seen, base, own = map(sum, zip(*found, strict=True))
+                    tail = Counter([t for t, f in zip(tokens, found, strict=True) if f is none])
+                    rest += tail.items()
+                    bounds.append(len(rest))
+                    out.append((next(number), len(tokens), seen, base, own + stream))
             names = ["row", "n_tokens", "n_known", "base_score", "score"]
             types = [pa.int64()] * 3 + [pa.float64()] * 2
             inner = pa.StructArray.from_arrays([pa.array([w for w, _ in rest], pa.binary()), pa.array([n for _, n in rest], pa.int32())],
@@ -257,31 +373,36 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("train"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)),
-                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), inner)], ["doc_id", "train", *names, "rest"])
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), inner), pa.array(far, pa.list_(pa.int64()))],
+                ["doc_id", "train", *names, "rest", "far"])
 
     partial = cut(rows.select("doc_id", "text", "train").mapInArrow(
         add, "doc_id long, train boolean, row long, n_tokens long, n_known long, base_score double, score double, "
-             "rest array<struct<word:binary,times:int>>"))
+             "rest array<struct<word:binary,times:int>>, far array<long>"))
     rest = (
         partial.select("row", F.inline("rest")).join(model.words, "word").groupBy("row")
         .agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"),
              F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / below)).alias("b"), F.sum(F.col("times") * F.col("logp")).alias("s"))
     )
+    if model.events is not None:
+        far = partial.select("row", F.explode("far").alias("event")).join(model.events.select("event", "logp"), "event").groupBy("row") \
+            .agg(F.sum("logp").alias("f"))
+        partial = partial.join(far, "row", "left").withColumn("score", F.col("score") + F.coalesce("f", F.lit(0.0))).drop("f")
     zero = F.lit(0)
-    return partial.drop("rest").join(rest, "row", "left").select(
+    return partial.drop("rest", "far").join(rest, "row", "left").select(
         "doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"),
         (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", across: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input row.
 
-    Learned from the rows whose crc32 of the id as text leaves another remainder than 1 modulo 5. A null or empty text is
+    ``across``: contexts are of the whole text, not of one word. Learned from the rows whose crc32 of the id as text leaves another remainder than 1 modulo 5. A null or empty text is
     the end token alone; a row without an id is a training row; repeated rows are learned and scored each; other columns
     are left aside; an empty table gives an empty one. With no training rows every byte has equal probability.
     """
     rows = text_rows(docs, id_col, text_col).withColumn("train", in_training("doc_id"))
-    model = train(rows)
+    model = train(rows, across)
     return score(rows, model).select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         "base_score", "score")

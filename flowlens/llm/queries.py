@@ -22,7 +22,7 @@ def op3_simhash_near_duplicates(spark, sf_dir):
 
 
 def op4_lm_scores(spark, sf_dir):
-    return ppm.score_documents(_table(spark, sf_dir, "documents"))
+    return ppm.score_documents(_table(spark, sf_dir, "documents"), across=True)
 
 
 def op5_token_file(spark, sf_dir):

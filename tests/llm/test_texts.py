@@ -214,6 +214,41 @@ def test_lm_scores(odd_docs, no_docs, monkeypatch, head):
     assert ppm.score_documents(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("head", [1 << 20, 50])
+def test_lm_scores_across_words(odd_docs, no_docs, monkeypatch, head):
+    monkeypatch.setattr(ppm, "HEAD_STREAM", head)
+    words = [w.encode() for w in prose(random.Random(9), 60).split()]
+    extra = odd_docs.sparkSession.createDataFrame([(1, b" ".join(words).decode()), (1, b" ".join(sorted(words)).decode())], "doc_id long, text string")
+    docs = odd_docs.select("doc_id", "text").where("doc_id NOT IN (34, 35) OR doc_id IS NULL").union(extra)
+    texts = [(r["doc_id"], b" ".join(ppm.tokens_of((r["text"] or "").encode()))) for r in docs.collect()]
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts}
+    contexts = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
+    for i, stream in texts:
+        for at, byte in enumerate(b"" if held[i] else stream):
+            for k in range(ppm.ORDER + 1):
+                contexts[k][(b"\0" * 8 + stream)[at + 8 - k : at + 8]][byte] += 1
+
+    def logp(history, byte):
+        out, excluded = 0.0, set()
+        for k in range(ppm.ORDER, -1, -1):
+            left = {s: n for s, n in contexts[k][history[len(history) - k :]].items() if s not in excluded}
+            if left:
+                if byte in left:
+                    return out + math.log10(left[byte] / (sum(left.values()) + len(left)))
+                out += math.log10(len(left) / (sum(left.values()) + len(left)))
+                excluded |= set(left)
+        return out - math.log10(ppm.SYMBOLS - len(excluded))
+
+    expected = Counter((i, round(sum(logp((b"\0" * 8 + s)[: at + 8], s[at]) for at in range(len(s))), 4)) for i, s in texts)
+    plain = list(ppm.stretches([s for _, s in texts]))
+    for most in (1, 3, 1000):
+        assert np.array_equal(np.concatenate([e for _, _, e in ppm.stretches([s for _, s in texts], most)]), np.concatenate([e for _, _, e in plain]))
+    rows = ppm.score_documents(docs, across=True).collect()
+    assert Counter((r["doc_id"], round(r["score"], 4)) for r in rows) == expected
+    assert len({r["score"] for r in rows if r["doc_id"] == 1}) >= 2
+    assert ppm.score_documents(no_docs, across=True).collect() == []
+
+
 def test_probabilities_after_a_context_sum_to_one():
     counts = Counter({b"the": 5, b"then": 2, b"that": 1, b"a": 7, ppm.END: 3})
     words = [*counts]
