@@ -22,7 +22,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
 #: What may be a random string: 20 or more characters of the usual key alphabets.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Digests and identifiers are known shapes, not secrets: hexadecimal of a digest's length, UUIDs, numbers, and names made
 #: of words (any case, with separators, a number at the end of a word).
 DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})")
@@ -59,12 +60,22 @@ def is_random(candidate: str, encoder, least_ratio: float) -> bool:
     return len(candidate) < least_ratio * len(encoder.encode_ordinary(candidate))
 
 
+def stretches(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What base spans, sorted by start, leave of a candidate, where it is long enough for one."""
+    left = []
+    for start, _, end in base:
+        if start >= b:
+            break
+        if end > a:
+            left.append((a, start))
+            a = end
+    return [(x, y) for x, y in [*left, (a, b)] if y - x >= LEAST]
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encoder, least_ratio: float) -> list[tuple[int, int, int]]:
     """Random strings outside the base spans."""
-    return [
-        (m.start(), 3, m.end()) for m in CANDIDATE.finditer(text)
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and is_random(m.group(), encoder, least_ratio)
-    ]
+    return [(a, 3, b) for m in CANDIDATE.finditer(text) for a, b in stretches(m.start(), m.end(), base)
+            if is_random(text[a:b], encoder, least_ratio)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -76,7 +87,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, least_ratio: fl
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random), one row for each input row, without a shuffle.
 
     Spans are kind:start:end in code points, end exclusive, of the whole match. ``random`` spans are maximal strings of
-    the key alphabets with fewer than ``least_ratio`` characters for each token, apart from known digests, numbers and
+    the key alphabets, base spans cut out of them, with fewer than ``least_ratio`` characters for each token, apart from known digests, numbers and
     names; they never overlap a base span. A null or empty text has no spans; a null id stays null; repeated rows are
     scanned each; other columns are left aside; an empty table gives an empty one.
     """
