@@ -24,6 +24,9 @@ KINDS = ("assign", "access", "hex", "random")
 #: What may be a random string: 20 or more characters of the usual key alphabets.
 LEAST = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+PARTS, PART = re.compile(r"[+/_=-]+"), re.compile(r"[^+/_=-]+")
+#: Shorter parts have too few tokens for a ratio of their own.
+LONG_PART = 16
 #: Digests and identifiers are known shapes, not secrets: hexadecimal of a digest's length, UUIDs, numbers, and names made
 #: of words (any case, with separators, a number at the end of a word).
 DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})")
@@ -54,10 +57,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_random(candidate: str, encoder, least_ratio: float) -> bool:
-    """Few characters for each token, in a string that is no known digest, number or name."""
-    if DIGEST.fullmatch(candidate) or UUID.fullmatch(candidate) or NUMBER.fullmatch(candidate) or NAME.fullmatch(candidate):
+    """Few characters for each token, in a string that is no known digest, number or name.
+
+    A string of a name's shape is one if its longer parts have as many characters for each token as words have.
+    """
+    if DIGEST.fullmatch(candidate) or UUID.fullmatch(candidate) or NUMBER.fullmatch(candidate):
+        return False
+
+    def dense(x):
+        return len(x) < least_ratio * len(encoder.encode_ordinary(x))
+    if NAME.fullmatch(candidate) and not any(dense(x) for x in PARTS.split(candidate) if len(x) >= LONG_PART):
         return False
-    return len(candidate) < least_ratio * len(encoder.encode_ordinary(candidate))
+    return dense(candidate)
+
+
+def random_parts(a: int, text: str, encoder, least_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a candidate that begins at ``a``: all of it, or it without the words at its ends, or
+    parts between separators."""
+    if is_random(text, encoder, least_ratio):
+        return [(a, a + len(text))]
+    parts = [(m.start(), m.end()) for m in PART.finditer(text)]
+    worded = [bool(NAME.fullmatch(text, x, y)) and not (y - x >= LONG_PART and y - x < least_ratio * len(encoder.encode_ordinary(text[x:y])))
+              for x, y in parts]
+    inner = [i for i, w in enumerate(worded) if not w]
+    if not inner:
+        return []
+    x, y = parts[inner[0]][0], parts[inner[-1]][1]
+    if y - x >= LEAST and is_random(text[x:y], encoder, least_ratio):
+        return [(a + x, a + y)]
+    return [(a + x, a + y) for x, y in parts if y - x >= LEAST and is_random(text[x:y], encoder, least_ratio)]
 
 
 def stretches(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -74,8 +102,8 @@ def stretches(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[in
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encoder, least_ratio: float) -> list[tuple[int, int, int]]:
     """Random strings outside the base spans."""
-    return [(a, 3, b) for m in CANDIDATE.finditer(text) for a, b in stretches(m.start(), m.end(), base)
-            if is_random(text[a:b], encoder, least_ratio)]
+    return [(x, 3, y) for m in CANDIDATE.finditer(text) for a, b in stretches(m.start(), m.end(), base)
+            for x, y in random_parts(a, text[a:b], encoder, least_ratio)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -87,7 +115,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, least_ratio: fl
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random), one row for each input row, without a shuffle.
 
     Spans are kind:start:end in code points, end exclusive, of the whole match. ``random`` spans are maximal strings of
-    the key alphabets, base spans cut out of them, with fewer than ``least_ratio`` characters for each token, apart from known digests, numbers and
+    the key alphabets, base spans cut out of them, or their parts between separators, with fewer than ``least_ratio`` characters for each token, apart from known digests, numbers and
     names; they never overlap a base span. A null or empty text has no spans; a null id stays null; repeated rows are
     scanned each; other columns are left aside; an empty table gives an empty one.
     """

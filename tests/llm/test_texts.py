@@ -65,6 +65,20 @@ def test_keys_beside_base_spans_are_found(spark, text, left):
     assert secrets.redact_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == left
 
 
+def test_token_efficiency_is_asked_of_parts_and_long_words():
+    encoder, rng = secrets._encoder(secrets.default_path("byte_bpe_50k.tiktoken")), random.Random(1)
+
+    def found(letters, n, front=""):
+        texts = [front + "".join(rng.choice(letters) for _ in range(n)) for _ in range(100)]
+        return sum(any(b > len(front) for _, _, b in secrets.random_spans(t, [], encoder, 2.2)) for t in texts)
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    assert found(mixed[:26], 32) > 95 and found(mixed[26:52], 32) > 95
+    assert found(mixed, 24, "service-account-production-database-key=") > 95
+    assert found(mixed, 24, "example/static/assets/images/users/profile/") > 95
+    for name in ("service-account-production-database-key", "CamelCaseNameOfSomething", "some_long_identifier_name_here2", "internationalization"):
+        assert not secrets.random_spans(name, [], encoder, 2.2)
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd_docs):
     docs = spark.createDataFrame([(1, SECRET_TEXTS[0], 1, "a"), (2, "clean text", 99, None), (3, None, None, None)],
                                  "doc_id long, text string, n_chars long, spans string")
