@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from flowlens.session import cut_dir, ship
 
 CHUNK_BYTES = 4 << 20
+#: Text that is encoded at once; numpy holds some fifteen times as much meanwhile.
+ENCODE_BYTES = 2 << 20
 
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_text: str | None = "") -> DataFrame:

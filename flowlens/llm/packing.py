@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import chunks, text_rows, texts_of
+from flowlens.llm.common import ENCODE_BYTES, chunks, text_rows, texts_of
 from flowlens.llm.vocab import default_path, encode_all
 from flowlens.session import cut
 
@@ -135,9 +135,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             texts = texts_of(batch)
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, ENCODE_BYTES):
                 rows = []
-                for doc_id, raw in zip(ids[a:b], encode_all([x.decode() for x in texts[a:b]], vocabulary), strict=True):
+                for doc_id, raw in zip(ids[a:b], encode_all(texts[a:b], vocabulary), strict=True):
                     raw += end
                     n, start, piece = len(raw) // 4, 0, 0
                     while start < n:

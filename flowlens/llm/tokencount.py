@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowlens.llm.common import chunks, text_rows, texts_of
+from flowlens.llm.common import ENCODE_BYTES, chunks, text_rows, texts_of
 from flowlens.llm.vocab import count_all, default_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -15,8 +15,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
                  text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each input row, without a shuffle.
 
-    Texts are split at safe blanks, so a very long one is encoded in small pieces; the unknown pieces of about 4 MB of
-    texts go to the tokenizer in one batch, and only lengths are kept. Special strings inside texts are handled as the
+    Texts are split at safe places, so a very long one is encoded in small units; the unknown units of about 2 MB of
+    texts go to the tokenizer together, and only lengths are kept. Special strings inside texts are handled as the
     library does by default. A null or empty text has 0 bytes and 0 tokens; a null id stays null; repeated rows are
     counted each; other columns are left aside; an empty table gives an empty one.
     """
@@ -27,8 +27,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
             texts = texts_of(batch)
             sizes = [len(x) for x in texts]
             lengths = []
-            for a, b in chunks(texts):
-                lengths += count_all([x.decode() for x in texts[a:b]], path)
+            for a, b in chunks(texts, ENCODE_BYTES):
+                lengths += count_all(texts[a:b], path)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()),
                  pa.array([n > limit for n in lengths], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm import huffman
-from flowlens.llm.common import chunks, text_rows, texts_of
+from flowlens.llm.common import ENCODE_BYTES, chunks, text_rows, texts_of
 from flowlens.llm.vocab import default_path, encode_all
 from flowlens.session import cut_dir
 
@@ -28,7 +28,7 @@ MOST_IDS = 1 << 20
 
 
 def _raw_blocks(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Documents in ascending id order, encoded, in blocks of about 4 MB of text, with the counts of each block's ids."""
+    """Documents in ascending id order, encoded, in blocks of about 2 MB of text, with the counts of each block's ids."""
     rows = text_rows(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
@@ -38,8 +38,8 @@ def _raw_blocks(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for a, b in chunks(texts):
-                coded = encode_all([x.decode() for x in texts[a:b]], vocabulary)
+            for a, b in chunks(texts, ENCODE_BYTES):
+                coded = encode_all(texts[a:b], vocabulary)
                 lengths = [len(x) // 4 + 1 for x in coded]
                 ids = np.frombuffer(end.join([*coded, b""]), "<u4")
                 times = np.bincount(ids)
@@ -115,7 +115,8 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    placed = blocks.join(parts.select("part", F.coalesce(before, F.lit(0)).alias("before")), "part")
+    # a row for each part, so no payload is shuffled for it
+    placed = blocks.join(F.broadcast(parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))), "part")
     last = ("ids_crc32", pa.int64(), "long") if digest else ("ids", pa.list_(pa.int32()), "array<int>")
 
     def unpack(batches):
