@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from flowlens.llm import ann, cotrain, decontam, packing, ppm, secrets, simhash, substring, tokencount, tokenfile
+from flowlens.llm import (ann, collocations, cotrain, decontam, packing, ppm, secrets, simhash, spelling, substring, tokencount,
+                          tokenfile, windowpack)
 
 
 def _table(spark, sf_dir, name):
@@ -49,8 +50,22 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_window_packing(spark, sf_dir):
+    return windowpack.pack_windows(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_substring_dedup, op3_simhash_near_duplicates, op4_lm_scores, op5_token_file, op6_token_counts, op7_benchmark_decontamination, op8_nearest_neighbours, op9_quality_classifier, op10_best_fit_packing,
+    op1_secret_scans, op2_substring_dedup, op3_simhash_near_duplicates, op4_lm_scores, op5_token_file, op6_token_counts,
+    op7_benchmark_decontamination, op8_nearest_neighbours, op9_quality_classifier, op10_best_fit_packing, op11_window_packing,
+    op12_spelling_variants, op13_collocations,
 )}
 
 #: SQL of the queries that it can express. The others hash with XXH64, encode, learn or search: tests hold them against brute
@@ -76,4 +91,20 @@ n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN bs USING (k, g) GROUP BY doc_id, item_id) JOIN n USING (item_id)
 WHERE n_shared >= 0.8 * n_item - 1e-9""",
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, x AS text FROM
+  (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(text, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+g AS (SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase FROM w, range(1, 5) AS t(k), unnest(range(1, len(words) - k + 2)) AS r(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+c AS (SELECT lang, phrase, a, k AS size, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND a >= 30),
+cut AS (SELECT c.lang, c.phrase, c.a, m AS cut_at, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM c, unnest(range(1, size)) AS t(m) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(words[1 : m], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(words[m + 1 : size], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
+inside AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c b ON s.lang = b.lang AND b.size > s.size
+  AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.a >= 80 * s.a),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM
+ (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN inside USING (lang, phrase)) JOIN n USING (lang) WHERE rank <= 2000""",
 }
