@@ -3,13 +3,14 @@
 A phrase is as frequent as the rule asks only if all phrases inside it are. So the text is read level by level: words are
 counted; pairs of frequent words by a 64-bit key; triples whose pairs have frequent keys; quadruples likewise. What is
 frequent goes to the next level as a bitmap of fixed size, whose errors are all on the safe side. The phrases that pass
-are gathered, distinct, and dealt to shards of bounded size; each shard's trie is broadcast, numpy moves the states of all
+are gathered, distinct, and dealt to shards of bounded size; a task builds each shard's trie, the trie is broadcast, numpy moves the states of all
 positions of a text one word on at a time, and accepting states are counted and summed up. These counts are the result;
 the keys only decide what is counted.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -240,22 +241,31 @@ class Shard:
             symbols[i, 0] = self.langs[lang]
             symbols[i, 1 : len(words) + 1] = [number[x] for x in words]
         self.lexicon = pa.array([x.encode() for x in lexicon], pa.binary())
-        self.trie = doublearray.build(symbols)
+        self.largest = max(len(lexicon), len(self.langs))
+        self.trie = doublearray.build(doublearray.digits(symbols, self.largest).reshape(len(rows), -1))
         self.lang = pa.array([lang for lang, _ in rows], pa.string())
         self.phrase = pa.array([phrase for _, phrase in rows], pa.string())
 
+    def _advance(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        for digit in range(symbols.shape[1]):
+            alive = np.flatnonzero(states >= 0)
+            reached = np.full(len(states), -1, np.int64)
+            reached[alive] = self.trie.advance(states[alive], symbols[alive, digit])
+            states = reached
+        return states
+
     def count(self, lang: str, words: Words, times: np.ndarray) -> None:
         if lang not in self.langs or not len(words.numbers):
             return
         number = pc.index_in(words.distinct, value_set=self.lexicon)
-        symbols = pc.fill_null(pc.add(number.cast(pa.int64()), 1), 0).to_numpy(zero_copy_only=False)[words.numbers]
-        at = np.flatnonzero(symbols)
-        root = self.trie.advance(np.zeros(1, np.int64), np.array([self.langs[lang]]))[0]
+        symbols = doublearray.digits(pc.fill_null(pc.add(number.cast(pa.int64()), 1), 0).to_numpy(zero_copy_only=False), self.largest)
+        at = np.flatnonzero(symbols[:, 0][words.numbers])
+        root = self._advance(np.zeros(1, np.int64), doublearray.digits(np.array([self.langs[lang]]), self.largest))[0]
         states = np.full(len(at), root, np.int64)
         for length in range(1, LONGEST + 1):
             inside = words.together(at, length)
             states = states[np.searchsorted(at, inside)]
-            states = self.trie.advance(states, symbols[inside + length - 1])
+            states = self._advance(states, symbols[words.numbers[inside + length - 1]])
             alive = states >= 0
             at, states = inside[alive], states[alive]
             accepted = self.trie.accept[states]
@@ -267,15 +277,22 @@ def count_phrases(docs: DataFrame, candidates: DataFrame, n: int, text_col: str
     spark = docs.sparkSession
     rows = _rows(docs, text_col, lang_col)
     shards = max(1, -(-n // SHARD))
-    dealt = cut(candidates.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))) if shards > 1 \
-        else candidates.withColumn("shard", F.lit(0))
+
+    def build(table: pa.Table) -> pa.Table:
+        own = sorted(zip(table["lang"].to_pylist(), table["phrase"].to_pylist(), strict=True))
+        return pa.table({"shard": table["shard"][:1], "trie": pa.array([pickle.dumps(Shard(own), pickle.HIGHEST_PROTOCOL)], pa.binary())})
+
+    numbered = candidates.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
+    tries = cut(numbered.groupBy("shard").applyInArrow(build, "shard int, trie binary"))
     counted = []
     for shard in range(shards):
-        own = [(r["lang"], r["phrase"]) for r in dealt.filter(F.col("shard") == shard).select("lang", "phrase").collect()]
-        sent = spark.sparkContext.broadcast(Shard(sorted(own)))
+        built = tries.filter(F.col("shard") == shard).select("trie").toArrow()["trie"]
+        if not len(built):
+            continue
+        sent = spark.sparkContext.broadcast(built[0].as_py())
 
         def count(batches, sent=sent):
-            tries = sent.value
+            tries = pickle.loads(sent.value)
             times = np.zeros(len(tries.phrase), np.int64)
             for lang, words, _ in _by_language(batches):
                 tries.count(lang, words, times)
@@ -284,6 +301,8 @@ def count_phrases(docs: DataFrame, candidates: DataFrame, n: int, text_col: str
 
         counted.append(cut(rows.mapInArrow(count, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))))
         sent.unpersist()
+    if not counted:
+        return candidates.withColumn("a", F.lit(0).cast("long"))
     found = counted[0]
     for more in counted[1:]:
         found = found.unionByName(more)

@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Places tried for a node with several children before it goes behind all others.
-TRIES = 256
+#: Children of one node lie within so many places; larger symbols are written as several digits.
+RADIX = 512
+#: A node with several children looks for room in so many of the last places before it goes behind all others.
+LOOKED_AT = 4096
 
 
 @dataclass
@@ -26,6 +28,13 @@ class DoubleArray:
         return np.where(there & (self.check[to] == states), to, -1)
 
 
+def digits(numbers: np.ndarray, largest: int) -> np.ndarray:
+    """Numbers of at least 1 as symbols of at least 1 and at most RADIX along a new last axis; 0 gives zeros."""
+    shifts = [RADIX**i for i in range(len(np.base_repr(max(largest, 1), 32)))]
+    shifts = [x for x in shifts if x <= max(largest, 1)][::-1]
+    return np.where(numbers[..., None] > 0, numbers[..., None] // np.array(shifts) % RADIX + 1, 0)
+
+
 def build(phrases: np.ndarray) -> DoubleArray:
     """From distinct rows of symbols of at least 1, zeros behind the shorter ones; row i is accepted as i.
 
@@ -54,11 +63,11 @@ def build(phrases: np.ndarray) -> DoubleArray:
         firsts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         sizes = np.diff(np.concatenate([firsts, [len(node)]]))
         at = np.zeros(len(node), np.int64)
-        for i in firsts[np.argsort(-sizes, kind="stable")][: int((sizes > 1).sum())].tolist():
-            n = int(sizes[np.searchsorted(firsts, i)])
+        order = np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())]
+        for i, n in zip(firsts[order].tolist(), sizes[order].tolist(), strict=True):
             children = symbol[i : i + n]
-            free = np.flatnonzero(check[:top] == -1)[-TRIES:]
-            starts = free - children[0]
+            behind = max(0, top - LOOKED_AT)
+            starts = np.flatnonzero(check[behind:top] == -1)[:: max(1, n // 8)] + behind - children[0]
             room(top + int(children[-1]) + 1)
             clash = (check[np.maximum(starts[:, None] + children[None, :], 0)] != -1).any(1) if len(starts) else np.ones(1, bool)
             start = int(starts[np.argmin(clash)]) if not clash.all() else top - int(children[0])

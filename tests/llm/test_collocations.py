@@ -61,10 +61,9 @@ def test_collocations(spark):
 
 
 def test_shards_sum_up(spark, monkeypatch):
-    """Many tries, and a bitmap so small that nearly every phrase passes it."""
+    """Several tries: the size of a shard is the driver's."""
     docs = _docs()[:150]
-    monkeypatch.setattr(collocations, "SHARD", 50)
-    monkeypatch.setattr(collocations, "BITMAP_BITS", 15)
+    monkeypatch.setattr(collocations, "SHARD", 150)
     df = spark.createDataFrame(docs, "lang string, text string")
     assert _got(collocations.mine(df, least=8)) == _plain(docs, 8)
 
@@ -82,8 +81,11 @@ def test_scores_beyond_64_bits(spark):
 def test_double_array():
     rng = np.random.default_rng(1)
     phrases = np.unique(np.where(np.arange(4) < rng.integers(1, 5, (3000, 1)), rng.zipf(1.5, (3000, 4)).clip(1, 400), 0), axis=0)
-    trie = doublearray.build(phrases)
-    asked = np.concatenate([phrases, rng.integers(0, 402, (5000, 4))])
+    coded = doublearray.digits(phrases, 400)
+    assert coded.shape == (*phrases.shape, 1) and doublearray.digits(np.array([0, 1, 511, 512, 300_000]), 300_000).tolist() == [
+        [0, 0, 0], [1, 1, 2], [1, 1, 512], [1, 2, 1], [2, 74, 481]]
+    trie = doublearray.build(coded[:, :, 0])
+    asked = np.concatenate([coded[:, :, 0], rng.integers(0, 402, (5000, 4))])
     states, found = np.zeros(len(asked), np.int64), np.full(len(asked), -1)
     alive = np.arange(len(asked))
     for depth in range(4):
@@ -93,7 +95,7 @@ def test_double_array():
         states[alive] = trie.advance(states[alive], asked[alive, depth])
         alive = alive[states[alive] >= 0]
     found[alive] = trie.accept[states[alive]]
-    numbers = {tuple(x): i for i, x in enumerate(phrases.tolist())}
+    numbers = {tuple(x): i for i, x in enumerate(coded[:, :, 0].tolist())}
 
     def expected(row):
         stop = row.index(0) if 0 in row else 4
