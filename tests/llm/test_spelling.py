@@ -53,6 +53,7 @@ def variant_docs():
     words += [w[::-1] for w in stems] + ["aaaaaaab", "baaaaaaa", "x" * 300, "x" * 299 + "y"]
     weights = [rng.choice([1, 3, 30]) for _ in words]
     docs = [(i, "-".join(x.capitalize() if rng.random() < 0.2 else x for x in rng.choices(words, weights, k=60))) for i in range(80)]
+    docs.append((500, "chainab " * 6 + "chainabc " * 30 + "chainabcd " * 160))  # a form that has a form itself
     return docs + [(None, "Übername übername ÀBÉDEF"), (7, None), (8, ""), (9, " 12 中文aaaaaab“bb”")] * 3
 
 
