@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import cotrain, decontam, packing, secrets, simhash
+from flowlens.llm import cotrain, decontam, nearcopies, packing, secrets
 from flowlens.session import cut_dir
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the one with the least id."""
+    return nearcopies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
