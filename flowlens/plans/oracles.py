@@ -620,6 +620,11 @@ SELECT template, batch_index, count(*) AS processor_count, string_agg(processor_
   SELECT *, (i - 1) // 5 + 1 AS batch_index FROM (SELECT template, processor_id, row_number() OVER (PARTITION BY template ORDER BY group_path, processor_id) AS i FROM fp)) GROUP BY ALL""")
 oracle("keyed_upsert", """
 SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+oracle("ingest_generations", """
+WITH e AS (SELECT coalesce(source, '') || '/' || coalesce(lang, 'und') AS path, md5(CAST(n_chars % 2 AS VARCHAR)) AS checksum, doc_id AS batch_id, n_chars % 7 = 0 AS removed FROM documents WHERE n_chars IS NOT NULL),
+steps AS (SELECT *, lag(checksum) OVER w IS DISTINCT FROM checksum OR lag(removed) OVER w IS DISTINCT FROM removed AS starts FROM e WINDOW w AS (PARTITION BY path ORDER BY batch_id)),
+runs AS (SELECT *, max(CASE WHEN starts THEN batch_id END) OVER (PARTITION BY path ORDER BY batch_id) AS generation FROM steps)
+SELECT path, checksum, batch_id, generation FROM runs QUALIFY row_number() OVER (PARTITION BY path ORDER BY batch_id DESC) = 1 AND NOT removed""")
 DDL_COLS = """
 SELECT k, ty, z, unnest([
   {'ord': 0, 'c': 'id', 'y': 'BIGINT', 'p': false}, {'ord': 1, 'c': 'load_ts', 'y': 'STRING', 'p': false}, {'ord': 2, 'c': 'amount', 'y': 'DECIMAL(10,2)', 'p': false},

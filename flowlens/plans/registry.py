@@ -20,6 +20,7 @@ from flowlens.operators import (
 from flowlens.plans import views
 from flowlens.session import cut
 from flowlens.sources.templates import Corpus, shred
+from flowlens.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -546,6 +547,15 @@ def keyed_upsert(spark, sf):
     return store.latest(e.select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
 
+@query
+def ingest_generations(spark, sf):
+    """Documents as the entries of a ledger: each one is a version of the file named by its source and language."""
+    d = views.read_table(spark, sf, "documents").filter("n_chars IS NOT NULL")
+    entries = d.select(F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("und"))).alias("path"), F.md5((F.col("n_chars") % 2).cast("string")).alias("checksum"),
+                       F.col("doc_id").alias("batch_id"), (F.col("n_chars") % 7 == 0).alias("removed"))
+    return ingest.live_files(entries).select("path", "checksum", "batch_id", "generation")
+
+
 @query
 def ddl_columns(spark, sf):
     return ddl.ddl_columns(ddl.optimised(ddl.parsed(views.ddl_texts(part(spark, sf)))))

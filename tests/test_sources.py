@@ -5,8 +5,8 @@ from flowlens import vocab as V
 from flowlens.operators import chains, ddl, lineage, patterns, scripts, tables
 from flowlens.plans import pipeline
 from flowlens.sources import files
-from flowlens.sources.templates import Corpus, light_processors
-from flowlens.streaming.ingest import ingest, ingest_changes, read_ledger
+from flowlens.sources.templates import Corpus, light_processors, template_files
+from flowlens.streaming.ingest import current_summary, ingest, ingest_changes, live_files, process_batch, read_ledger
 
 PROC = """<processors><id>{id}</id><name>{name}</name><type>org.x.{kind}</type><parentGroupId>{group}</parentGroupId><config><comments> note </comments>
 <descriptors><entry><key>Hidden</key><value>1</value></entry></descriptors><properties>{props}</properties></config></processors>"""
@@ -124,6 +124,42 @@ def test_changed_and_nested_files_are_read_again(spark, folder):
     assert read_ledger(spark, out + "/ledger").count() == 5
 
 
+def test_newest_generation_supersedes_and_removed_files_vanish(spark, folder):
+    location, out = str(folder / "in"), str(folder / "out")
+    run = lambda: ingest_changes(spark, location, out + "/summary", out + "/ledger")
+    rows = lambda: sorted((r["template"], r["processor_id"], r["batch"]) for r in current_summary(spark, out + "/summary", out + "/ledger").collect())
+    file = folder / "in" / "a.xml"
+    first, second = template(), template().replace("<id>p2</id>", "<id>p22</id>")
+    assert run() == 3
+    file.write_text(second)
+    assert run() == 1
+    assert [r[1] for r in rows() if r[0] == "a.xml"] == ["p1", "p22"]
+    file.write_text(first + "\n")
+    file.write_text(first)
+    (folder / "in" / "sub" / "b.xml").unlink()
+    assert run() == 1 and run() == 0
+    now = rows()
+    assert [r[1] for r in now] == ["p1", "p2"] and {r[0] for r in now} == {"a.xml"}
+    ledger = read_ledger(spark, out + "/ledger")
+    newest = ledger.agg({"batch_id": "max"}).first()[0]
+    files = template_files(spark, str(file)).withColumn("template", F.lit("a.xml"))
+    process_batch(files, newest, out + "/summary", out + "/ledger")
+    assert rows() == now
+    # seen again with the same content: still the generation that analysed it
+    process_batch(files, newest + 1, out + "/summary", out + "/ledger")
+    assert rows() == now
+    (folder / "in" / "sub" / "b.xml").write_text(template())
+    assert run() == 1 and len(rows()) == 4
+
+
+def test_live_files(spark):
+    entries = [("p", "A", 1), ("p", "B", 2), ("p", "A", 3), ("p", "A", 4), ("q", "A", 1), ("q", None, 2), ("r", "A", 1), ("r", "A", 5), ("r", "A", 7)]
+    rows = [(p, c, b, (p, b) in {("q", 2), ("r", 5)}) for p, c, b in entries]
+    ledger = spark.createDataFrame(rows, "path string, checksum string, batch_id long, removed boolean")
+    assert {(r["path"], r["checksum"], r["batch_id"], r["generation"]) for r in live_files(ledger).collect()} == {("p", "A", 4, 3), ("r", "A", 7, 7)}
+    assert live_files(ledger.limit(0)).collect() == []
+
+
 def test_equal_names_repeated_ids_and_bad_encodings(spark, tmp_path):
     for team in ("x", "y"):
         (tmp_path / "in" / team).mkdir(parents=True)
