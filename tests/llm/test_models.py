@@ -143,4 +143,4 @@ def test_pipeline_stages(spark, labelled, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted({int(name[2:].split("_")[0]) for name in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(name[2:].split("_")[0]) for name in queries.QUERIES}) == list(range(1, 14))
