@@ -123,63 +123,156 @@ def closure(
     )
 
 
-def cycle_pairs(edges: DataFrame, stride: int = 8) -> DataFrame:
-    """Node pairs (a < b) that reach each other."""
-    pairs = closure(edges, stride=stride).select("template", "src", "dst")
-    forward = pairs.filter("src < dst")
-    backward = pairs.filter("src > dst").select("template", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return forward.join(backward, ["template", "src", "dst"], "left_semi").select(
-        "template", F.col("src").alias("node_a"), F.col("dst").alias("node_b")
+def reached(edges: DataFrame, seeds: DataFrame, keys: list[str], stride: int = 4) -> DataFrame:
+    """(keys, node) of every node that a seed (keys, node) reaches along the edges, itself included.
+
+    ``edges`` have ``src``, ``dst`` and some or all of ``keys``. Only nodes first found in the last round are followed,
+    ``stride`` edges in one job: edges from each node to itself keep what is found on the way. No pairs of nodes are built.
+    """
+    frontier, n = cut_counted(seeds.select(*keys, "node").distinct())
+    found = [frontier]
+    on = [k for k in keys if k in edges.columns]
+    lazy = cut(_lazy(edges, on)).withColumnRenamed("src", "node") if n else None
+    while n:
+        step = frontier
+        for _ in range(stride):
+            step = step.join(lazy, [*on, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
+        frontier, n = cut_counted(step.join(union_all(found), [*keys, "node"], "left_anti"))
+        if n:
+            found.append(frontier)
+    return union_all(found)
+
+
+def _lazy(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct (keys, src, dst) and an edge from every node to itself."""
+    both = F.array(F.struct("src", "dst"), F.struct("src", F.col("src").alias("dst")), F.struct(F.col("dst").alias("src"), "dst"))
+    return edges.select(*keys, F.explode(both).alias("e")).select(*keys, "e.*").distinct()
+
+
+# --- strongly connected components ---------------------------------------------------------
+
+
+def components(edges: DataFrame, stride: int = 4) -> DataFrame:
+    """(template, node, component, size) of nodes on cycles; a component is named by its smallest node.
+
+    Ends without an edge in or out go first, as long as that at least halves the edges. Then every node learns the least
+    mark (a hash) of those that reach it and of those it reaches. Where both are one node's, the node is in its component;
+    of the rest only edges between nodes of equal marks can be in a component. Marks are random, so the number of
+    rounds grows with the logarithm of the number of components. An edge from a node to itself is no cycle.
+    """
+    live, n = cut_counted(edges.select("template", "src", "dst").filter("src <> dst").distinct())
+    before = 2 * n
+    while n and 2 * n <= before:
+        before = n
+        live, n = cut_counted(_inner(_inner(live)))
+    found = [live.limit(0).select("template", F.col("src").alias("node"), F.struct(F.lit(0).cast("long").alias("h"), "src").alias("up"))]
+    while n:
+        marks = _least_marks(live, stride)
+        found.append(marks.filter("up = down").select("template", "node", "up"))
+        rest = marks.filter("up <> down")
+        live, n = cut_counted(
+            live.join(rest.withColumnRenamed("node", "src"), ["template", "src"])
+            .join(rest.withColumnRenamed("node", "dst"), ["template", "dst", "up", "down"])
+            .select("template", "src", "dst")
+        )
+    rows = union_all(found)
+    named = rows.groupBy("template", "up").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
+    return rows.join(named, ["template", "up"]).select("template", "node", "component", "size")
+
+
+def _inner(edges: DataFrame) -> DataFrame:
+    """Edges from nodes with an edge in to nodes with an edge out."""
+    into = edges.select("template", F.col("dst").alias("src"))
+    out = edges.select("template", F.col("src").alias("dst"))
+    return edges.join(into, ["template", "src"], "left_semi").join(out, ["template", "dst"], "left_semi")
+
+
+def _least_marks(edges: DataFrame, stride: int) -> DataFrame:
+    """(template, node, up, down): least marks (hash, node) among the nodes that reach a node and among those it reaches."""
+    sides = F.array(
+        F.struct(F.lit("up").alias("side"), "src", "dst"),
+        F.struct(F.lit("down").alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst")),
+    )
+    keys = ["template", "side"]
+    lazy = cut(_lazy(edges.select("template", F.explode(sides).alias("e")).select("template", "e.*"), keys))
+    mark = F.struct(F.xxhash64("template", "src").alias("h"), "src")
+    state, changed = cut_counted(lazy.filter("src = dst").select(*keys, F.col("src").alias("node"), mark.alias("mark")))
+    while changed:
+        step = state.withColumn("was", F.col("mark"))
+        for _ in range(stride):
+            step = (
+                step.withColumnRenamed("node", "src").join(lazy, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node"))
+                .agg(F.min("mark").alias("mark"), F.min(F.when(F.col("src") == F.col("dst"), F.col("was"))).alias("was"))
+            )
+        state, changed = cut_counted(step, "mark <> was")
+        state = state.drop("was")
+    pick = lambda side: F.min(F.when(F.col("side") == side, F.col("mark"))).alias(side)
+    return cut(state.groupBy("template", "node").agg(pick("up"), pick("down")))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(template, component, size, members): every strongly connected component of two nodes or more, members in order."""
+    return components(edges).groupBy("template", "component").agg(
+        F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members")
     )
 
 
+def cycle_pairs(edges: DataFrame) -> DataFrame:
+    """Node pairs (a < b) that reach each other: the pairs inside components, which is the result itself."""
+    members = cut(components(edges).select("template", "component", "node"))
+    return members.withColumnRenamed("node", "node_a").join(
+        members.withColumnRenamed("node", "node_b"), ["template", "component"]
+    ).filter("node_a < node_b").select("template", "node_a", "node_b")
+
+
 # --- simple paths --------------------------------------------------------------------------
 
 
-def _segments(edges: DataFrame, stride: int) -> DataFrame:
+def _segments(edges: DataFrame, stride: int, keys: list[str]) -> DataFrame:
     """Simple paths of 1..stride edges: first node, later nodes, relationships per hop."""
     one = edges.filter("src <> dst").select(
-        "template", F.col("src").alias("first"), F.array("dst").alias("nodes"), F.array("relationships").alias("rels"),
+        *keys, F.col("src").alias("first"), F.array("dst").alias("nodes"), F.array("relationships").alias("rels"),
         F.col("dst").alias("last"),
     )
     found, current = [one], one
     for _ in range(stride - 1):
         s, e = current.alias("s"), one.alias("e")
-        current = s.join(
-            e, (F.col("s.template") == F.col("e.template")) & (F.col("s.last") == F.col("e.first"))
-        ).filter(
+        current = s.join(e, _same(keys, "s", "e") & (F.col("s.last") == F.col("e.first"))).filter(
             (F.col("e.last") != F.col("s.first")) & ~F.array_contains(F.col("s.nodes"), F.col("e.last"))
         ).select(
-            "s.template", "s.first", F.concat("s.nodes", "e.nodes").alias("nodes"),
+            *[f"s.{k}" for k in keys], "s.first", F.concat("s.nodes", "e.nodes").alias("nodes"),
             F.concat("s.rels", "e.rels").alias("rels"), "e.last",
         )
         found.append(current)
     return union_all(found)
 
 
+def _same(keys: list[str], left: str, right: str):
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}") == F.col(f"{right}.{k}") for k in keys])
+
+
 def simple_paths(
-    edges: DataFrame, starts: DataFrame, max_nodes: int | None = None, stride: int = 4
+    edges: DataFrame, starts: DataFrame, max_nodes: int | None = None, stride: int = 4, keys: tuple[str, ...] = ("template",)
 ) -> DataFrame:
-    """All simple paths from each start: (template, start, last, path, rels). ``max_nodes`` bounds their length if asked.
+    """All simple paths from each start: (keys, start, last, path, rels). ``max_nodes`` bounds their length if asked.
 
-    ``rels`` keeps one relationship array per hop; parallel connections give separate paths.
-    The result is inherently path-many; nothing is dropped, and each round is one equi-join.
+    Edges and starts of different ``keys`` don't meet. ``rels`` keeps one relationship array per hop; parallel connections
+    give separate paths. The result is inherently path-many; nothing is dropped, and each round is one equi-join.
     """
-    seeds = starts.select("template", F.col("start")).distinct().select(
-        "template", "start", F.col("start").alias("last"), F.array("start").alias("path"),
+    keys = list(keys)
+    seeds = starts.select(*keys, "start").distinct().select(
+        *keys, "start", F.col("start").alias("last"), F.array("start").alias("path"),
         F.array().cast("array<array<string>>").alias("rels"),
     )
-    segments = cut(_segments(edges, stride))
+    segments = cut(_segments(edges, stride, keys))
     frontier, found, grown = seeds, [seeds], 1
     while max_nodes is None or grown < max_nodes:
         p, s = frontier.alias("p"), segments.alias("s")
-        step = p.join(
-            s, (F.col("p.template") == F.col("s.template")) & (F.col("p.last") == F.col("s.first"))
-        ).filter(
+        step = p.join(s, _same(keys, "p", "s") & (F.col("p.last") == F.col("s.first"))).filter(
             ~F.arrays_overlap(F.col("p.path"), F.col("s.nodes"))
             & (F.lit(max_nodes is None) | (F.size("p.path") + F.size("s.nodes") <= F.lit(max_nodes or 0)))
         ).select(
-            "p.template", "p.start", "s.last", F.concat("p.path", "s.nodes").alias("path"),
+            *[f"p.{k}" for k in keys], "p.start", "s.last", F.concat("p.path", "s.nodes").alias("path"),
             F.concat("p.rels", "s.rels").alias("rels"),
         )
         step, n = cut_counted(step)
@@ -191,41 +284,47 @@ def simple_paths(
     return union_all(found)
 
 
-def longest_paths(edges: DataFrame, max_examples: int | None = None) -> DataFrame:
+def longest_paths(edges: DataFrame, max_examples: int | None = None, stride: int = 4) -> DataFrame:
     """Longest simple paths per template over (template, src, dst): path, nodes, hops, rank.
 
-    All paths of a round have the same length, so only each template's last living frontier is a
-    candidate. A suffix bound prunes: on acyclic templates (checked) the bound is exact and only
-    optimal prefixes survive; cyclic templates keep every simple path alive.
+    Bounds come from the graph of components: no path through a component has more nodes than it, and one that
+    passes it has at least one. A path is dropped once it can't reach the template's lower bound, so on acyclic
+    templates, where both bounds meet, only beginnings of longest paths are walked. Inside components all simple paths
+    that may still be longest are tried.
     """
-    table_edges = cut(edges.select("template", "src", "dst").distinct().filter("src <> dst"))
-    bound = cut(_suffix_bound(table_edges))
-    best = bound.groupBy("template").agg(
-        F.max(F.when(F.col("acyclic"), F.col("nodes_left"))).alias("goal")
-    )
-    step_edges = cut(
-        table_edges.join(
-            bound.select("template", F.col("node").alias("dst"), "nodes_left"), ["template", "dst"]
-        )
-    )
-    frontier = bound.join(best, "template").filter(
-        F.col("goal").isNull() | (F.col("nodes_left") == F.col("goal"))
-    ).select("template", "goal", F.col("node").alias("last"), F.array("node").alias("path"))
-    rounds, length = [cut(frontier)], 1
-    while True:
-        p, e = rounds[-1].alias("p"), step_edges.alias("e")
-        grown = p.join(
-            e, (F.col("p.template") == F.col("e.template")) & (F.col("p.last") == F.col("e.src"))
-        ).filter(
-            ~F.array_contains("p.path", F.col("e.dst"))
-            & (F.col("p.goal").isNull() | (F.col("e.nodes_left") + length == F.col("p.goal")))
-        ).select("p.template", "p.goal", F.col("e.dst").alias("last"), F.array_append("p.path", F.col("e.dst")).alias("path"))
-        grown, n = cut_counted(grown)
-        if n == 0:
-            break
-        rounds.append(grown)
-        length += 1
-    paths = union_all(rounds).select("template", "path", F.size("path").alias("nodes"))
+    arcs = cut(edges.select("template", "src", "dst").distinct().filter("src <> dst"))
+    bound = cut(_path_bounds(arcs, stride))
+    goals = bound.groupBy("template").agg(F.max("least").alias("goal"))
+    ahead = cut(arcs.join(
+        bound.select("template", F.col("node").alias("dst"), F.col("component").alias("to"), F.col("most").alias("to_most")), ["template", "dst"]
+    ))
+    frontier, n = cut_counted(bound.join(goals, "template").filter("most >= goal").select(
+        "template", "goal", F.col("node").alias("last"), F.col("component").alias("at"), F.lit(1).cast("long").alias("inside"),
+        F.array("node").alias("path"),
+    ))
+    done, length = [], 1
+    while n:
+        step = frontier
+        for _ in range(stride):
+            p, e = step.alias("p"), ahead.alias("e")
+            inside = F.when(F.col("p.at") == F.col("e.to"), F.col("p.inside") + 1).otherwise(F.lit(1).cast("long"))
+            fits = (
+                (F.col("p.template") == F.col("e.template")) & (F.col("p.last") == F.col("e.src"))
+                & ~F.array_contains("p.path", F.col("e.dst"))
+                & (F.size("p.path") + 1 + F.col("e.to_most") - inside >= F.col("p.goal"))
+            )
+            grew = F.col("e.dst").isNotNull()
+            step = p.join(e, fits, "left").select(
+                "p.template", "p.goal", F.coalesce("e.dst", "p.last").alias("last"), F.coalesce("e.to", "p.at").alias("at"),
+                F.when(grew, inside).otherwise(F.col("p.inside")).alias("inside"),
+                F.when(grew, F.array_append("p.path", F.col("e.dst"))).otherwise(F.col("p.path")).alias("path"),
+            )
+        length += stride
+        step, n = cut_counted(step, f"size(path) = {length}")
+        done.append(step.filter(F.size("path") < length) if n else step)
+        frontier = step.filter(F.size("path") == length)
+    rows = union_all(done or [frontier])
+    paths = rows.select("template", "path", F.size("path").alias("nodes"))
     longest = paths.groupBy("template").agg(F.max("nodes").alias("nodes"))
     kept = paths.join(longest, ["template", "nodes"], "left_semi")
     ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("template").orderBy("path")))
@@ -234,30 +333,36 @@ def longest_paths(edges: DataFrame, max_examples: int | None = None) -> DataFram
     return ranked.select("template", "rank", "path", "nodes", (F.col("nodes") - 1).alias("hops"))
 
 
-def _suffix_bound(edges: DataFrame) -> DataFrame:
-    """(template, node, nodes_left, acyclic): exact longest-suffix node count on acyclic templates.
+def _path_bounds(edges: DataFrame, stride: int) -> DataFrame:
+    """(template, node, component, most, least): bounds of the number of nodes on a longest simple path from the component on.
 
-    Peels sinks layer by layer; a template with nodes left over after peeling has a cycle.
+    A node without a cycle is a component of its own. Bounds are raised along the edges between components, ``stride``
+    of them in one job, until none changes.
     """
-    nodes = cut(edges.select("template", F.explode(F.array("src", "dst")).alias("node")).distinct())
-    layers = [nodes.limit(0).withColumn("nodes_left", F.lit(0))]
-    while True:
-        peeled = union_all(layers)
-        blocked = edges.join(
-            peeled.select("template", F.col("node").alias("dst")), ["template", "dst"], "left_anti"
-        ).select("template", F.col("src").alias("node")).distinct()
-        layer, n = cut_counted(
-            nodes.join(peeled, ["template", "node"], "left_anti")
-            .join(blocked, ["template", "node"], "left_anti")
-            .withColumn("nodes_left", F.lit(len(layers)))
-        )
-        if n == 0:
-            break
-        layers.append(layer)
-    ranked = nodes.join(union_all(layers), ["template", "node"], "left")
-    cyclic = ranked.filter("nodes_left IS NULL").select("template").distinct().withColumn("cyclic", F.lit(True))
-    return ranked.join(cyclic, "template", "left").select(
-        "template", "node", "nodes_left", F.col("cyclic").isNull().alias("acyclic")
+    nodes = edges.select("template", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    placed = cut(nodes.join(components(edges, stride), ["template", "node"], "left").select(
+        "template", "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).cast("long").alias("size")
+    ))
+    side = lambda end, name: placed.select("template", F.col("node").alias(end), F.col("component").alias(name))
+    between = edges.join(side("src", "a"), ["template", "src"]).join(side("dst", "b"), ["template", "dst"]).select(
+        "template", F.col("a").alias("src"), F.col("b").alias("dst")
+    ).unionByName(placed.select("template", F.col("component").alias("src"), F.col("component").alias("dst")))
+    sizes = placed.groupBy("template", "component").agg(F.max("size").alias("size"))
+    steps = cut(between.distinct().join(sizes.withColumnRenamed("component", "src"), ["template", "src"]).withColumnRenamed("dst", "component"))
+    state, changed = cut_counted(sizes.select("template", "component", F.col("size").alias("most"), F.least("size", F.lit(2)).alias("least")))
+    while changed:
+        step = state.withColumn("was", F.struct("most", "least"))
+        stay = F.col("src") == F.col("component")
+        for _ in range(stride):
+            step = step.join(steps, ["template", "component"]).groupBy("template", "src").agg(
+                F.max(F.col("most") + F.when(stay, 0).otherwise(F.col("size"))).alias("most"),
+                F.max(F.col("least") + F.when(stay, 0).otherwise(1)).alias("least"),
+                F.max(F.when(stay, F.col("was"))).alias("was"),
+            ).withColumnRenamed("src", "component")
+        state, changed = cut_counted(step, "most <> was.most OR least <> was.least")
+        state = state.drop("was")
+    return placed.select("template", "node", "component").join(state, ["template", "component"]).select(
+        "template", "node", "component", "most", "least"
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from flowlens import vocab as V
 from flowlens.functions.text import el_bodies, el_key, has_any, strip
-from flowlens.operators.graph import flattened_edges, simple_paths
+from flowlens.operators.graph import flattened_edges, reached, simple_paths
+from flowlens.session import cut
 
 
 def properties(processors: DataFrame) -> DataFrame:
@@ -117,18 +118,24 @@ def flows(
 ) -> DataFrame:
     """All simple paths from a definer of a variable to any of its users.
 
-    Paths are expanded once per defining processor and matched to variables afterwards, so a
-    processor that sets many variables is walked once.
+    A variable is followed only along edges that lie between its definers and its users: nodes that definers
+    reach, then of these the ones that reach a user. Without cycles every path walked so is the beginning
+    of a row of the result.
     """
-    defs, uses = definitions(processors), usages(processors)
-    edges = flattened_edges(connections, processors, through)
-    paths = simple_paths(
-        edges, defs.select("template", F.col("processor_id").alias("start")), max_nodes, stride
-    )
-    ends = uses.select("template", "variable", F.col("processor_id").alias("last")).distinct()
-    set_by = defs.select("template", "variable", F.col("processor_id").alias("start"))
-    wanted = set_by.join(ends, ["template", "variable"]).select("template", "variable", "start", "last")
-    return paths.join(wanted, ["template", "start", "last"]).select(
+    keys = ["template", "variable"]
+    at = lambda rows: rows.select(*keys, F.col("processor_id").alias("node")).distinct()
+    set_by, ends = cut(at(definitions(processors))), at(usages(processors))
+    ends = cut(ends.join(set_by, keys, "left_semi"))
+    starts = set_by.join(ends, keys, "left_semi")
+    edges = cut(flattened_edges(connections, processors, through).select("template", "src", "dst", "relationships"))
+    ahead = reached(edges, starts, keys)
+    onward = cut(edges.join(ahead.withColumnRenamed("node", "src"), ["template", "src"]))
+    back = onward.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    live = reached(back, ends, keys)
+    useful = onward.join(live.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi")
+    begin = starts.join(live, [*keys, "node"], "left_semi").withColumnRenamed("node", "start")
+    paths = simple_paths(useful, begin, max_nodes, stride, keys)
+    return paths.join(ends.withColumnRenamed("node", "last"), [*keys, "last"], "left_semi").select(
         "template", "variable", "start", "last", F.col("path").alias("flow_chain"),
         F.col("rels").alias("relationships"), F.size("path").alias("chain_length"),
     )

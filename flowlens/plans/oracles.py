@@ -335,6 +335,13 @@ CTES["cyc"] = """
 SELECT template, src, dst FROM cy UNION SELECT c.template, c.src, e.dst FROM cyc c JOIN cy e ON e.template = c.template AND e.src = c.dst"""
 oracle("cycle_pairs", """
 SELECT a.template, a.src AS node_a, a.dst AS node_b FROM cyc a JOIN cyc b ON a.template = b.template AND a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""")
+CTES["cyg"] = """
+SELECT template, src, dst FROM ge UNION SELECT c.template, c.src, e.dst FROM cyg c JOIN ge e ON e.template = c.template AND e.src = c.dst"""
+for _name, _pairs in (("connection_cycles", "cyc"), ("table_cycles", "cyg")):
+    oracle(_name, f"""
+SELECT template, component, count(*) AS size, string_agg(node, '>' ORDER BY node) AS members FROM (
+  SELECT a.template, a.src AS node, min(a.dst) AS component FROM {_pairs} a JOIN {_pairs} b ON a.template = b.template AND a.src = b.dst AND a.dst = b.src
+  GROUP BY a.template, a.src HAVING count(DISTINCT a.dst) > 1) GROUP BY template, component""")
 oracle("flattened_edges", """
 SELECT template, src, dst, rels AS relationships, CASE WHEN conn_ord % 3 = 0 THEN 'port_' || conn_ord ELSE '' END AS via_port FROM ce""")
 CTES["gr"] = """
@@ -658,7 +665,7 @@ oracle("shredded_connections", "SELECT template, src AS source, dst AS destinati
 
 
 # Queries over the view with few table names, where neighbouring processors share tables.
-SHARED_TABLES = ("inter_processor_edges", "table_flow_links", "lineage_chain_report", "domain_edges", "longest_table_paths")
+SHARED_TABLES = ("inter_processor_edges", "table_flow_links", "lineage_chain_report", "domain_edges", "longest_table_paths", "table_cycles")
 
 
 def oracle_sql() -> dict[str, str]:

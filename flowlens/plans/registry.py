@@ -220,6 +220,18 @@ def cycle_pairs(spark, sf):
     return graph.cycle_pairs(graph.edges_of(views.connections(part(spark, sf), cyclic=True)))
 
 
+@query
+def connection_cycles(spark, sf):
+    rows = graph.cycles(graph.edges_of(views.connections(part(spark, sf), cyclic=True)))
+    return rows.select("template", "component", "size", F.array_join("members", ">").alias("members"))
+
+
+@query
+def table_cycles(spark, sf):
+    rows = graph.cycles(lineage.lineage_edges(shared_sets(spark, sf), conns(spark, sf)).select("template", "src", "dst"))
+    return rows.select("template", "component", "size", F.array_join("members", ">").alias("members"))
+
+
 @query
 def flattened_edges(spark, sf):
     p = part(spark, sf)

@@ -49,6 +49,27 @@ def test_cycle_pairs(spark, make_connections):
     assert {(r["node_a"], r["node_b"]) for r in graph.cycle_pairs(e).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
 
 
+def test_components_match_mutual_reachability(spark, make_connections):
+    rows, want = [], set()
+    for seed in range(4):
+        nodes, edges = random_graph(seed, n=16, m=24, acyclic=False)
+        rows += [(f"t{seed}", a, b) for a, b in edges] + [(f"t{seed}", "n0", "n0")]
+        hops = closure_of(nodes, edges)
+        for x in nodes:
+            group = sorted({x} | {y for y in nodes if (x, y) in hops and (y, x) in hops})
+            if len(group) > 1:
+                want.add((f"t{seed}", group[0], len(group), tuple(group)))
+    ring = [f"r{i:03}" for i in range(70)]
+    rows += [("ring", a, b) for a, b in zip(ring, ring[1:] + ring[:1])] + [("dag", a, b) for a, b in zip(ring, ring[1:])]
+    want.add(("ring", "r000", 70, tuple(ring)))
+    edges = graph.edges_of(make_connections(rows))
+    got = {(r["template"], r["component"], r["size"], tuple(r["members"])) for r in graph.cycles(edges).collect()}
+    assert got == want
+    pairs = {tuple(r) for r in graph.cycle_pairs(edges).collect()}
+    assert pairs == {(t, a, b) for t, _, _, group in want for i, a in enumerate(group) for b in group[i + 1:]}
+    assert graph.cycles(edges.limit(0)).collect() == [] and graph.longest_paths(edges.limit(0)).collect() == []
+
+
 def simple_paths_of(edges, start, limit):
     out, found = defaultdict(list), []
     for a, b in edges:
@@ -82,6 +103,60 @@ def test_longest_paths_on_acyclic_and_cyclic_graphs(spark, make_connections):
     assert got == [("t", ["a", "b", "c"], 3, 2), ("u", ["p", "q", "r"], 3, 2), ("u", ["q", "r", "p"], 3, 2), ("u", ["r", "p", "q"], 3, 2)]
 
 
+def test_longest_paths_match_depth_first(spark, make_connections):
+    rows, want = [], set()
+    for seed in range(5):
+        nodes, edges = random_graph(seed, n=10, m=15, acyclic=seed == 0)
+        edges = sorted(set(edges))
+        rows += [(f"t{seed}", a, b) for a, b in edges]
+        paths = {p for x in nodes for p in simple_paths_of(edges, x, 99)}
+        most = max(map(len, paths))
+        want |= {(f"t{seed}", p) for p in paths if len(p) == most}
+    edges = graph.edges_of(make_connections(rows))
+    assert {(r["template"], tuple(r["path"])) for r in graph.longest_paths(edges).collect()} == want
+
+
+def ladder(rungs):
+    """Two ways from each rung to the next: 2 ** rungs paths."""
+    return [("t", a, b) for i in range(rungs) for a, b in
+            ((f"s{i}", f"x{i}"), (f"s{i}", f"y{i}"), (f"x{i}", f"s{i + 1}"), (f"y{i}", f"s{i + 1}"))]
+
+
+def test_flows_only_follow_edges_towards_users(spark, make_connections, make_processors, monkeypatch):
+    names = sorted({x for _, a, b in ladder(20) for x in (a, b)})
+    set_at = {"s0": ("UpdateAttribute", {"v": "1", "w": "2"})}
+    written, counted = [], graph.cut_counted
+
+    def counting(df, where="true"):
+        rows, n = counted(df, where)
+        written.append(rows.count())
+        return rows, n
+
+    monkeypatch.setattr(graph, "cut_counted", counting)
+    monkeypatch.setattr(graph, "cut", lambda df: counting(df)[0])
+    for use, want in (({}, []), ({"x1": {"q": "${w}"}}, [("s0", "x0", "s1", "x1"), ("s0", "y0", "s1", "x1")])):
+        rows = [("t", x, x, *(set_at.get(x, ("X", use.get(x, {})))[:1]), "Root", set_at.get(x, ("X", use.get(x, {})))[1]) for x in names]
+        written.clear()
+        got = sorted(tuple(r["flow_chain"]) for r in variables.flows(make_processors(rows), make_connections(ladder(20))).collect())
+        assert got == want and sum(written) < 1000
+
+
+def test_flows_match_plain_search(spark, make_connections, make_processors):
+    for seed in range(3):
+        nodes, edges = random_graph(seed, n=9, m=14, acyclic=False)
+        edges = sorted(set(edges))
+        setters, users = {"v": nodes[:2], "w": nodes[1:3]}, {"v": nodes[4:7], "w": [nodes[2], nodes[8]]}
+        rows = []
+        for x in nodes:
+            props = {v: "1" for v in "vw" if x in setters[v]} | {f"use {v}": f"${{{v}}}" for v in "vw" if x in users[v]}
+            rows.append(("t", x, x, "UpdateAttribute" if any(x in s for s in setters.values()) else "X", "Root", props))
+        p, c = make_processors(rows), make_connections([("t", a, b) for a, b in edges])
+        got = sorted((r["variable"], tuple(r["flow_chain"])) for r in variables.flows(p, c).collect())
+        d = {(r["variable"], r["processor_id"]) for r in variables.definitions(p).collect()}
+        u = {(r["variable"], r["processor_id"]) for r in variables.usages(p).collect()}
+        assert got == sorted((v, path) for v, x in d for path in simple_paths_of(edges, x, 99) if (v, path[-1]) in u)
+
+
 def test_group_paths(spark):
     rows = [("t", "1", "A", None), ("t", "2", "B", "1"), ("t", "3", "C", "2"), ("t", "4", "D", "gone")]
     g = spark.createDataFrame(rows, "template string, group_id string, name string, parent_id string")
