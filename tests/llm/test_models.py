@@ -114,6 +114,26 @@ def test_views_teach_each_other():
     assert "site=spam" not in alone.metadata.weights
 
 
+def test_listed_and_tabled_pools_teach_the_same(spark):
+    rng = random.Random(5)
+    rows = [(cotrain.slots({"junk" if i % 2 else "fine", f"w{rng.randint(0, 50)}"}), cotrain.slots({f"s{rng.randint(0, 9)}"})) for i in range(300)]
+    labels, groups = np.array([1 - i % 2 for i in range(300)]), list(range(300))
+    # Every listed row is a group of its own; all but the last two thousand are rare words only. The mark lies far beyond any sample.
+    pool = [(cotrain.slots({f"x{i}"}), cotrain.slots({"site=plain"})) for i in range(6000)]
+    pool += [(cotrain.slots({"junk" if i % 2 else "fine"}), cotrain.slots({"site=spam" if i % 2 else "site=fine"})) for i in range(2000)]
+    table = spark.createDataFrame([([i], list(c), list(m)) for i, (c, m) in enumerate(pool, 1000)],
+                                  "bands array<long>, content array<int>, metadata array<int>").repartition(5)
+    listed = cotrain.co_train(rows, labels, pool, groups + list(range(1000, 9000)), 2)
+    tabled = cotrain.co_train(rows, labels, lambda held: cotrain._tabled(table, [g for g, h in zip(groups, held) if h]), groups, 2)
+    spam, fine = (cotrain.slots({x})[0] for x in ("site=spam", "site=fine"))
+    assert tabled.metadata.weights[spam] < 0 < tabled.metadata.weights[fine]
+    for a, b in ((listed.content, tabled.content), (listed.metadata, tabled.metadata)):
+        assert a.weights == b.weights and (a.scale, a.shift) == (b.scale, b.shift)
+    # Rows that share a band with a held one teach nothing.
+    none = cotrain.co_train(rows, labels, lambda held: cotrain._tabled(table, list(range(1000, 9000))), groups, 2)
+    assert spam not in none.metadata.weights
+
+
 def test_pipeline_stages(spark, labelled, tmp_path):
     docs, known, labels = labelled
     rng = random.Random(12)
