@@ -151,13 +151,16 @@ def _lazy(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- strongly connected components ---------------------------------------------------------
 
+#: Random orders of the nodes that are used at once.
+ORDERS = 4
+
 
 def components(edges: DataFrame, stride: int = 4) -> DataFrame:
     """(template, node, component, size) of nodes on cycles; a component is named by its smallest node.
 
     Ends without an edge in or out go first, as long as that at least halves the edges. Then every node learns the least
-    mark (a hash) of those that reach it and of those it reaches. Where both are one node's, the node is in its component;
-    of the rest only edges between nodes of equal marks can be in a component. Marks are random, so the number of
+    mark (a hash) of those that reach it and of those it reaches, in some random orders at once. Where both are one node's,
+    the node is in its component; of the rest only edges between nodes of equal marks can be in a component. The number of
     rounds grows with the logarithm of the number of components. An edge from a node to itself is no cycle.
     """
     live, n = cut_counted(edges.select("template", "src", "dst").filter("src <> dst").distinct())
@@ -165,19 +168,19 @@ def components(edges: DataFrame, stride: int = 4) -> DataFrame:
     while n and 2 * n <= before:
         before = n
         live, n = cut_counted(_inner(_inner(live)))
-    found = [live.limit(0).select("template", F.col("src").alias("node"), F.struct(F.lit(0).cast("long").alias("h"), "src").alias("up"))]
+    found = [live.limit(0).select("template", F.col("src").alias("node"), F.struct(F.xxhash64("src").alias("h"), "src").alias("root"))]
     while n:
         marks = _least_marks(live, stride)
-        found.append(marks.filter("up = down").select("template", "node", "up"))
-        rest = marks.filter("up <> down")
+        found.append(marks.filter("root IS NOT NULL").select("template", "node", "root"))
+        rest = marks.filter("root IS NULL").drop("root")
         live, n = cut_counted(
             live.join(rest.withColumnRenamed("node", "src"), ["template", "src"])
             .join(rest.withColumnRenamed("node", "dst"), ["template", "dst", "up", "down"])
             .select("template", "src", "dst")
         )
     rows = union_all(found)
-    named = rows.groupBy("template", "up").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
-    return rows.join(named, ["template", "up"]).select("template", "node", "component", "size")
+    named = rows.groupBy("template", "root").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
+    return rows.join(named, ["template", "root"]).select("template", "node", "component", "size")
 
 
 def _inner(edges: DataFrame) -> DataFrame:
@@ -188,26 +191,29 @@ def _inner(edges: DataFrame) -> DataFrame:
 
 
 def _least_marks(edges: DataFrame, stride: int) -> DataFrame:
-    """(template, node, up, down): least marks (hash, node) among the nodes that reach a node and among those it reaches."""
+    """(template, node, up, down, root): least marks (hash, node) in each order among the nodes that reach a node and among
+    those it reaches; root is the first that is both."""
     sides = F.array(
         F.struct(F.lit("up").alias("side"), "src", "dst"),
         F.struct(F.lit("down").alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst")),
     )
     keys = ["template", "side"]
     lazy = cut(_lazy(edges.select("template", F.explode(sides).alias("e")).select("template", "e.*"), keys))
-    mark = F.struct(F.xxhash64("template", "src").alias("h"), "src")
-    state, changed = cut_counted(lazy.filter("src = dst").select(*keys, F.col("src").alias("node"), mark.alias("mark")))
+    orders = [f"m{i}" for i in range(ORDERS)]
+    marks = [F.struct(F.xxhash64(F.lit(m), "template", "src").alias("h"), "src").alias(m) for m in orders]
+    state, changed = cut_counted(lazy.filter("src = dst").select(*keys, F.col("src").alias("node"), *marks))
     while changed:
-        step = state.withColumn("was", F.col("mark"))
+        step = state.withColumn("was", F.struct(*orders))
         for _ in range(stride):
             step = (
                 step.withColumnRenamed("node", "src").join(lazy, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node"))
-                .agg(F.min("mark").alias("mark"), F.min(F.when(F.col("src") == F.col("dst"), F.col("was"))).alias("was"))
+                .agg(*[F.min(m).alias(m) for m in orders], F.min(F.when(F.col("src") == F.col("dst"), F.col("was"))).alias("was"))
             )
-        state, changed = cut_counted(step, "mark <> was")
+        state, changed = cut_counted(step, " OR ".join(f"{m} <> was.{m}" for m in orders))
         state = state.drop("was")
-    pick = lambda side: F.min(F.when(F.col("side") == side, F.col("mark"))).alias(side)
-    return cut(state.groupBy("template", "node").agg(pick("up"), pick("down")))
+    pick = lambda side: F.min(F.when(F.col("side") == side, F.struct(*orders))).alias(side)
+    both = state.groupBy("template", "node").agg(pick("up"), pick("down"))
+    return cut(both.withColumn("root", F.coalesce(*[F.when(F.col(f"up.{m}") == F.col(f"down.{m}"), F.col(f"up.{m}")) for m in orders])))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
