@@ -18,7 +18,7 @@ from flowlens.operators import (
     tables, variables,
 )
 from flowlens.plans import views
-from flowlens.session import cut
+from flowlens.session import cut, dealt
 from flowlens.sources.templates import Corpus, shred
 from flowlens.streaming import ingest
 
@@ -44,7 +44,8 @@ def silver(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
 
 
 def part(spark, sf):
-    return views.read_table(spark, sf, "part")
+    """The part table in as many files as keep all cores busy; a file of few row groups is read by as few tasks, whatever its rows cost."""
+    return silver(spark, sf, "part", lambda: dealt(views.read_table(spark, sf, "part"), "p_partkey"))
 
 
 def procs(spark, sf):

@@ -80,6 +80,11 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_counted(df)[0]
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over three partitions a core by their keys."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def clear_cuts(spark: SparkSession) -> None:
     """Drop this application's cuts; call when its results are no longer needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(cut_dir(spark))
