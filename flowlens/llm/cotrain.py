@@ -15,17 +15,21 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.llm.common import CHUNK_BYTES
 from flowlens.llm.substring import hash_spans, mixed
 from flowlens.session import cut, ship
 
@@ -43,6 +47,10 @@ WITHOUT_LABELS = {"quality": 0.999, "toxic": 0.001}
 SKETCHES, BAND = 12, 3
 TARGETS = ("quality", "toxic")
 SLOTS = 1 << 20
+#: Shingles that are mixed at once.
+SPANS = 1 << 12
+#: Seeds of the orders of a sketch, one a row.
+SEEDS = np.arange(1, SKETCHES + 1, dtype=np.uint64)[:, None]
 
 
 @dataclass
@@ -54,8 +62,7 @@ class View:
     shift: float = 0.0
 
     def raw(self, features: Iterable) -> float:
-        get = self.weights.get
-        return math.fsum(get(x, 0.0) for x in features)
+        return math.fsum(map(self.weights.get, features, repeat(0.0)))
 
     def logit(self, features: Iterable) -> float:
         return self.scale * self.raw(features) + self.shift
@@ -91,7 +98,7 @@ def metadata_features(text: str, given: dict[str, object]) -> set[str]:
     words = text.split()
     distinct = len(set(words)) / len(words) if words else 0.0
     found = {f"{k}={v}" for k, v in given.items()}
-    found |= {f"{k}~{np.searchsorted(SHARE_STEPS, x, 'right')}" for k, x in zip([*KINDS, "sign"], shares, strict=True)}
+    found |= {f"{k}~{bisect_right(SHARE_STEPS, x)}" for k, x in zip([*KINDS, "sign"], shares.tolist(), strict=True)}
     found |= {f"length~{int(2 * np.log2(len(raw) + 1))}", f"lines~{int(2 * np.log2(counts[list(KINDS).index('line')] + 1))}",
               f"distinct~{int(10 * distinct)}", f"word~{int(2 * np.log2(len(raw) / (len(words) + 1) + 1))}"}
     return found
@@ -161,7 +168,8 @@ def sketch_of(text: str) -> list[int]:
     words = text.lower().encode().split()
     stretch, at = hash_spans([words]), np.arange(max(1, len(words) - 2))
     hashes = stretch(at, np.minimum(at + 3, len(words)))
-    return [int(mixed(hashes ^ np.uint64(k)).min() >> np.uint64(1)) for k in range(1, SKETCHES + 1)]
+    least = [mixed(hashes[a : a + SPANS] ^ SEEDS).min(axis=1) for a in range(0, len(hashes), SPANS)]
+    return (np.min(least, axis=0) >> np.uint64(1)).tolist()
 
 
 def groups_of(sketches: list[list[int]]) -> list[int]:
@@ -298,10 +306,19 @@ def bands_of(sketch: list[int]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(repr((k, sketch[k : k + BAND]))) >> 1 for k in range(0, SKETCHES, BAND)]
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], text: str | int) -> Iterable[pa.RecordBatch]:
+    """The batches in pieces of about CHUNK_BYTES of text, so that a task holds what Python makes of few rows."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_BYTES)) + 1
+        for a, b in zip([0, *at.tolist()], [*at.tolist(), len(sizes)], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def _features(df: DataFrame, id_col: str, text_col: str, metadata: list[str], without: frozenset[int] = frozenset()) -> DataFrame:
     """(doc_id, content, metadata, bands, sketch) with features as slots, of the rows whose id is not in ``without``."""
     def make(batches):
-        for batch in batches:
+        for batch in _pieces(batches, "text"):
             given = [batch.column(c).to_pylist() for c in metadata]
             out = []
             for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
@@ -370,7 +387,7 @@ def judge(docs: DataFrame, models: dict[str, Classifier], bad: float = 0.8, toxi
     inner = pa.struct([("quality", pa.float64()), ("toxic", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches, at_text):
             given = [batch.column(i).to_pylist() for i in at_given]
             out = []
             for i, text in enumerate(batch.column(at_text).to_pylist()):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,17 @@ def test_classifier_without_labels_keeps_all(labelled):
     assert cotrain.score_quality(docs.limit(0), known).collect() == []
 
 
+def test_classifier_takes_large_batches_in_pieces():
+    """A task holds what Python makes of few rows at a time; a text beyond the size is a piece of its own."""
+    texts = ["x" * (cotrain.CHUNK_BYTES // 4), None, ""] * 9 + ["y" * (2 * cotrain.CHUNK_BYTES)] + ["z"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    pieces = list(cotrain._pieces([batch, batch.slice(0, 0)], "text"))
+    assert [x for p in pieces for x in p.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert [x for p in pieces for x in p.column("text").to_pylist()] == texts
+    for p in pieces:
+        assert sum(len(x or "") for x in p.column("text").to_pylist()[1:]) < cotrain.CHUNK_BYTES
+
+
 def test_views_teach_each_other():
     """The metadata view learns a mark that labelled rows lack, from rows that the content view is sure of."""
     rng = random.Random(4)
