@@ -70,6 +70,14 @@ def test_components_match_mutual_reachability(spark, make_connections):
     assert graph.cycles(edges.limit(0)).collect() == [] and graph.longest_paths(edges.limit(0)).collect() == []
 
 
+def test_components_walk_only_templates_with_a_way_back(spark, make_connections):
+    names = [f"p{i}" for i in range(8, 13)]
+    dag = [("dag", a, b) for a, b in zip(names, names[1:])]
+    ring = [("ring", a, b) for a, b in zip(names, names[1:] + names[:1])]
+    edges = graph.edges_of(make_connections(dag + ring))
+    assert {tuple(r) for r in graph._turning(edges.select("template", "src", "dst")).collect()} == set(ring)
+
+
 def simple_paths_of(edges, start, limit):
     out, found = defaultdict(list), []
     for a, b in edges:
