@@ -2,15 +2,15 @@
 
 A phrase is as frequent as the rule asks only if all phrases inside it are. So the text is read level by level: words are
 counted; pairs of frequent words by a 64-bit key; triples whose pairs have frequent keys; quadruples likewise. What is
-frequent goes to the next level as a bitmap of fixed size, whose errors are all on the safe side. The phrases that pass
-are gathered, distinct, and dealt to shards of bounded size; a task builds each shard's trie, the trie is broadcast, numpy moves the states of all
-positions of a text one word on at a time, and accepting states are counted and summed up. These counts are the result;
-the keys only decide what is counted.
+frequent goes to the next level as a bitmap of fixed size, whose errors are all on the safe side. Then each place where a
+phrase passes gives its window, the longest one that starts there. Equal windows are summed up and dealt in their order to
+shards of bounded size. A task builds the trie of its windows' phrases, numpy moves the states of all windows one word on
+at a time, and what they carry is added to the accepting states. These counts are the result; the keys only decide what is
+counted. The text is read five times, however many phrases there are.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +27,12 @@ from flowlens.session import cut, cut_counted, ship
 LONGEST = 4
 #: Bits of a level's bitmap, 2 MB whatever the input's size.
 BITMAP_BITS = 24
-#: Phrases of a shard, about; its trie takes some 30 MB.
-SHARD = 1 << 17
+#: Windows of a shard, about; its trie has up to three phrases for each.
+SHARD = 1 << 16
 CHUNK = 2 << 20
-#: Keys are summed up in a task over so much text before they are dealt.
+#: Keys are summed up in a task over so much text before they are dealt, windows over so many rows.
 SUMMED_BYTES = 16 << 20
+SUMMED_ROWS = 1 << 18
 
 WORD, BREAK, GAP = range(3)
 
@@ -202,30 +203,54 @@ def frequent_places(docs: DataFrame, bitmaps: list[bytes], least: int, text_col:
     return keys.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key").mapInArrow(place, "place long")
 
 
-def _first_of_each(numbers: np.ndarray, at: np.ndarray, length: int, distinct: int) -> np.ndarray:
-    """A position of each distinct run of ``length`` numbers among those that start ``at``."""
+def _runs(numbers: np.ndarray, at: np.ndarray, length: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """A position of each distinct run of ``length`` numbers among those that start ``at``, and how many start there."""
     same = np.zeros(len(at), np.int64)
     for i in range(length):
         _, same = np.unique(same * distinct + numbers[at + i], return_inverse=True)
-    return at[np.unique(same, return_index=True)[1]]
+    _, first, times = np.unique(same, return_index=True, return_counts=True)
+    return at[first], times
 
 
-def candidate_phrases(docs: DataFrame, bitmaps: list[bytes], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Distinct (lang, phrase) of two words and more that pass all bitmaps."""
+def windows(docs: DataFrame, bitmaps: list[bytes], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, phrase, n): the longest phrase that passes all bitmaps at each place where one of two words does, and at how many
+    places it is the longest.
+
+    The parts of a phrase that passes pass too, so a phrase occurs as often as the windows that begin with it.
+    """
     levels = Levels(bitmaps)
 
+    def longest(lang: str, words: Words) -> Iterator[pa.Table]:
+        found = levels.starts(lang, words)[: len(bitmaps)]
+        for length in range(len(found), 1, -1):
+            at = found[length - 1][0]
+            if length < len(found):
+                at = np.setdiff1d(at, found[length][0], assume_unique=True)
+            if len(at):
+                first, times = _runs(words.numbers, at, length, len(words.distinct))
+                yield pa.table({"lang": pa.array([lang] * len(first), pa.string()), "phrase": words.phrase(first, length), "n": pa.array(times, pa.int64())})
+
+    def summed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if held:
+            rows = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+            yield from rows.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).to_batches(max_chunksize=1 << 15)
+
     def gather(batches):
+        held, rows = [], 0
         for lang, words, _ in _by_language(batches):
-            for length, (at, _) in enumerate(levels.starts(lang, words)[: len(bitmaps)], 1):
-                if length > 1 and len(at):
-                    first = _first_of_each(words.numbers, at, length, len(words.distinct))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), words.phrase(first, length)], ["lang", "phrase"])
+            for table in longest(lang, words):
+                held.append(table)
+                rows += table.num_rows
+            if rows > SUMMED_ROWS:
+                yield from summed(held)
+                held, rows = [], 0
+        yield from summed(held)
 
-    return _rows(docs, text_col, lang_col).mapInArrow(gather, "lang string, phrase string").distinct()
+    return _rows(docs, text_col, lang_col).mapInArrow(gather, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 class Shard:
-    """Trie of some phrases, each behind its language."""
+    """Trie of the phrases of two words and more that some distinct windows begin with, each behind its language."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         split = [phrase.split(" ") for _, phrase in rows]
@@ -235,78 +260,61 @@ class Shard:
                 times[word] = times.get(word, 0) + 1
         lexicon = sorted(times, key=lambda x: (-times[x], x))  # low numbers for common words keep children together
         number = {word: i for i, word in enumerate(lexicon, 1)}
-        self.langs = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in rows}), 1)}
+        langs = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in rows}), 1)}
         symbols = np.zeros((len(rows), LONGEST + 1), np.int64)
         for i, ((lang, _), words) in enumerate(zip(rows, split, strict=True)):
-            symbols[i, 0] = self.langs[lang]
+            symbols[i, 0] = langs[lang]
             symbols[i, 1 : len(words) + 1] = [number[x] for x in words]
-        self.lexicon = pa.array([x.encode() for x in lexicon], pa.binary())
-        self.largest = max(len(lexicon), len(self.langs))
-        self.trie = doublearray.build(doublearray.digits(symbols, self.largest).reshape(len(rows), -1))
-        self.lang = pa.array([lang for lang, _ in rows], pa.string())
-        self.phrase = pa.array([phrase for _, phrase in rows], pa.string())
-
-    def _advance(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        for digit in range(symbols.shape[1]):
-            alive = np.flatnonzero(states >= 0)
-            reached = np.full(len(states), -1, np.int64)
-            reached[alive] = self.trie.advance(states[alive], symbols[alive, digit])
-            states = reached
-        return states
-
-    def count(self, lang: str, words: Words, times: np.ndarray) -> None:
-        if lang not in self.langs or not len(words.numbers):
-            return
-        number = pc.index_in(words.distinct, value_set=self.lexicon)
-        symbols = doublearray.digits(pc.fill_null(pc.add(number.cast(pa.int64()), 1), 0).to_numpy(zero_copy_only=False), self.largest)
-        at = np.flatnonzero(symbols[:, 0][words.numbers])
-        root = self._advance(np.zeros(1, np.int64), doublearray.digits(np.array([self.langs[lang]]), self.largest))[0]
-        states = np.full(len(at), root, np.int64)
-        for length in range(1, LONGEST + 1):
-            inside = words.together(at, length)
-            states = states[np.searchsorted(at, inside)]
-            states = self._advance(states, symbols[words.numbers[inside + length - 1]])
-            alive = states >= 0
-            at, states = inside[alive], states[alive]
+        largest = max(len(lexicon), len(langs))
+        self.windows = doublearray.digits(symbols, largest)
+        begun: dict[tuple[str, str], int] = {}  # each phrase and a window that begins with it
+        lengths = []
+        for i, ((lang, _), words) in enumerate(zip(rows, split, strict=True)):
+            for length in range(2, len(words) + 1):
+                if begun.setdefault((lang, " ".join(words[:length])), i) == i:
+                    lengths.append(length)
+        phrases = symbols[list(begun.values())]
+        phrases[np.arange(LONGEST + 1) > np.array(lengths, np.int64)[:, None]] = 0
+        self.trie = doublearray.build(doublearray.digits(phrases, largest).reshape(len(phrases), -1))
+        self.lang = pa.array([lang for lang, _ in begun], pa.string())
+        self.phrase = pa.array([phrase for _, phrase in begun], pa.string())
+
+    def count(self, n: np.ndarray) -> np.ndarray:
+        """How often each phrase occurs, the windows occurring ``n`` times."""
+        times = np.zeros(len(self.phrase), np.int64)
+        at, states = np.arange(len(n)), np.zeros(len(n), np.int64)
+        for place in range(LONGEST + 1):
+            for digit in range(self.windows.shape[2]):
+                states = self.trie.advance(states, self.windows[at, place, digit])
+                at, states = at[states >= 0], states[states >= 0]
             accepted = self.trie.accept[states]
-            times += np.bincount(accepted[accepted >= 0], minlength=len(times))
-
-
-def count_phrases(docs: DataFrame, candidates: DataFrame, n: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, phrase, a): all occurrences of the ``n`` distinct candidates, shard by shard."""
-    spark = docs.sparkSession
-    rows = _rows(docs, text_col, lang_col)
-    shards = max(1, -(-n // SHARD))
-
-    def build(table: pa.Table) -> pa.Table:
-        own = sorted(zip(table["lang"].to_pylist(), table["phrase"].to_pylist(), strict=True))
-        return pa.table({"shard": table["shard"][:1], "trie": pa.array([pickle.dumps(Shard(own), pickle.HIGHEST_PROTOCOL)], pa.binary())})
-
-    numbered = candidates.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
-    tries = cut(numbered.groupBy("shard").applyInArrow(build, "shard int, trie binary"))
-    counted = []
-    for shard in range(shards):
-        built = tries.filter(F.col("shard") == shard).select("trie").toArrow()["trie"]
-        if not len(built):
-            continue
-        sent = spark.sparkContext.broadcast(built[0].as_py())
-
-        def count(batches, sent=sent):
-            tries = pickle.loads(sent.value)
-            times = np.zeros(len(tries.phrase), np.int64)
-            for lang, words, _ in _by_language(batches):
-                tries.count(lang, words, times)
-            met = pa.array(np.flatnonzero(times))
-            yield pa.RecordBatch.from_arrays([tries.lang.take(met), tries.phrase.take(met), pa.array(times[met.to_numpy()])], ["lang", "phrase", "a"])
-
-        counted.append(cut(rows.mapInArrow(count, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))))
-        sent.unpersist()
-    if not counted:
-        return candidates.withColumn("a", F.lit(0).cast("long"))
-    found = counted[0]
-    for more in counted[1:]:
-        found = found.unionByName(more)
-    return found
+            np.add.at(times, accepted[accepted >= 0], n[at[accepted >= 0]])
+        return times
+
+
+def count_phrases(found: DataFrame, n: int) -> DataFrame:
+    """(lang, phrase, a): occurrences of all phrases that the ``n`` distinct windows (lang, phrase, n) begin with."""
+
+    def total(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        shard = Shard(list(zip(table["lang"].to_pylist(), table["phrase"].to_pylist(), strict=True)))
+        times = shard.count(table["n"].to_numpy())
+        yield pa.RecordBatch.from_arrays([shard.lang, shard.phrase, pa.array(times)], ["lang", "phrase", "a"])
+
+    def count(batches):
+        held, rows = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, SHARD):
+                held.append(batch.slice(start, SHARD))
+                rows += held[-1].num_rows
+                if rows >= SHARD:
+                    yield from total(held)
+                    held, rows = [], 0
+        if held:
+            yield from total(held)
+
+    dealt = found.repartitionByRange(max(1, -(-n // SHARD)), "lang", "phrase")
+    return dealt.mapInArrow(count, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
 def _exact(column: str | Column) -> Column:
@@ -334,8 +342,7 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, share: int = 80, id_
     bitmaps = [bitmap(_word_places(frequent))]
     for _ in range(2, LONGEST + 1):
         bitmaps.append(bitmap(frequent_places(docs, bitmaps, least, text_col, lang_col)))
-    candidates, n = cut_counted(candidate_phrases(docs, bitmaps, text_col, lang_col))
-    found = cut(count_phrases(docs, candidates, n, text_col, lang_col).filter(F.col("a") >= least))
+    found = cut(count_phrases(*cut_counted(windows(docs, bitmaps, text_col, lang_col))).filter(F.col("a") >= least))
 
     split = F.split("phrase", " ")
     parts = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.struct(

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from flowlens.llm import collocations, doublearray
 
@@ -68,6 +69,20 @@ def test_shards_sum_up(spark, monkeypatch):
     assert _got(collocations.mine(df, least=8)) == _plain(docs, 8)
 
 
+def test_text_is_read_as_often_whatever_the_number_of_shards(spark, monkeypatch):
+    docs = _docs()[:150]
+    monkeypatch.setattr(collocations, "SHARD", 50)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame(docs, "lang string, text string").withColumn("text", F.udf(seen, "string")("text"))
+    assert _got(collocations.mine(df, least=8)) == _plain(docs, 8)
+    assert read.value == 5 * len(docs)
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert _got(collocations.mine(odd_docs, least=3)) == _plain([(r["lang"], r["text"]) for r in odd_docs.collect()], 3)
     assert collocations.mine(no_docs).collect() == []
