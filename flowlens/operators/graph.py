@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.session import cut, cut_counted
+from flowlens.session import cut, cut_counted, off_driver
 
 
 def edges_of(connections: DataFrame, skip_unknown: bool = False) -> DataFrame:
@@ -175,27 +175,27 @@ def components(edges: DataFrame, stride: int = 4) -> DataFrame:
         found.append(marks.filter("root IS NOT NULL").select("template", "node", "root"))
         rest = marks.filter("root IS NULL").drop("root")
         live, n = cut_counted(
-            live.join(rest.withColumnRenamed("node", "src"), ["template", "src"])
-            .join(rest.withColumnRenamed("node", "dst"), ["template", "dst", "up", "down"])
+            live.join(off_driver(rest.withColumnRenamed("node", "src")), ["template", "src"])
+            .join(off_driver(rest.withColumnRenamed("node", "dst")), ["template", "dst", "up", "down"])
             .select("template", "src", "dst")
         )
     rows = union_all(found)
     named = rows.groupBy("template", "root").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
-    return rows.join(named, ["template", "root"]).select("template", "node", "component", "size")
+    return rows.join(off_driver(named), ["template", "root"]).select("template", "node", "component", "size")
 
 
 def _turning(edges: DataFrame) -> DataFrame:
     """Edges of templates where some edge goes back in one order of the nodes; every cycle has such an edge, whatever the order."""
     order = lambda node: F.struct(F.length(node), F.col(node))
     back = edges.filter(order("src") > order("dst")).select("template").distinct()
-    return edges.join(back, "template", "left_semi")
+    return edges.join(off_driver(back), "template", "left_semi")
 
 
 def _inner(edges: DataFrame) -> DataFrame:
     """Edges from nodes with an edge in to nodes with an edge out."""
     into = edges.select("template", F.col("dst").alias("src"))
     out = edges.select("template", F.col("src").alias("dst"))
-    return edges.join(into, ["template", "src"], "left_semi").join(out, ["template", "dst"], "left_semi")
+    return edges.join(off_driver(into), ["template", "src"], "left_semi").join(off_driver(out), ["template", "dst"], "left_semi")
 
 
 def _least_marks(edges: DataFrame, stride: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _least_marks(edges: DataFrame, stride: int) -> DataFrame:
         F.struct(F.lit("down").alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst")),
     )
     keys = ["template", "side"]
-    lazy = cut(_lazy(edges.select("template", F.explode(sides).alias("e")).select("template", "e.*"), keys))
+    lazy = off_driver(cut(_lazy(edges.select("template", F.explode(sides).alias("e")).select("template", "e.*"), keys)))
     orders = [f"m{i}" for i in range(ORDERS)]
     marks = [F.struct(F.xxhash64(F.lit(m), "template", "src").alias("h"), "src").alias(m) for m in orders]
     state, changed = cut_counted(lazy.filter("src = dst").select(*keys, F.col("src").alias("node"), *marks))
@@ -307,11 +307,11 @@ def longest_paths(edges: DataFrame, max_examples: int | None = None, stride: int
     that may still be longest are tried.
     """
     arcs = cut(edges.select("template", "src", "dst").distinct().filter("src <> dst"))
-    bound = cut(_path_bounds(arcs, stride))
+    bound = off_driver(cut(_path_bounds(arcs, stride)))
     goals = bound.groupBy("template").agg(F.max("least").alias("goal"))
-    ahead = cut(arcs.join(
+    ahead = off_driver(cut(arcs.join(
         bound.select("template", F.col("node").alias("dst"), F.col("component").alias("to"), F.col("most").alias("to_most")), ["template", "dst"]
-    ))
+    )))
     frontier, n = cut_counted(bound.join(goals, "template").filter("most >= goal").select(
         "template", "goal", F.col("node").alias("last"), F.col("component").alias("at"), F.lit(1).cast("long").alias("inside"),
         F.array("node").alias("path"),
@@ -340,7 +340,7 @@ def longest_paths(edges: DataFrame, max_examples: int | None = None, stride: int
     rows = union_all(done or [frontier])
     paths = rows.select("template", "path", F.size("path").alias("nodes"))
     longest = paths.groupBy("template").agg(F.max("nodes").alias("nodes"))
-    kept = paths.join(longest, ["template", "nodes"], "left_semi")
+    kept = paths.join(off_driver(longest), ["template", "nodes"], "left_semi")
     ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("template").orderBy("path")))
     if max_examples is not None:
         ranked = ranked.filter(F.col("rank") <= max_examples)
@@ -354,15 +354,15 @@ def _path_bounds(edges: DataFrame, stride: int) -> DataFrame:
     of them in one job, until none changes.
     """
     nodes = edges.select("template", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    placed = cut(nodes.join(components(edges, stride), ["template", "node"], "left").select(
+    placed = off_driver(cut(nodes.join(off_driver(components(edges, stride)), ["template", "node"], "left").select(
         "template", "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).cast("long").alias("size")
-    ))
+    )))
     side = lambda end, name: placed.select("template", F.col("node").alias(end), F.col("component").alias(name))
     between = edges.join(side("src", "a"), ["template", "src"]).join(side("dst", "b"), ["template", "dst"]).select(
         "template", F.col("a").alias("src"), F.col("b").alias("dst")
     ).unionByName(placed.select("template", F.col("component").alias("src"), F.col("component").alias("dst")))
     sizes = placed.groupBy("template", "component").agg(F.max("size").alias("size"))
-    steps = cut(between.distinct().join(sizes.withColumnRenamed("component", "src"), ["template", "src"]).withColumnRenamed("dst", "component"))
+    steps = off_driver(cut(between.distinct().join(sizes.withColumnRenamed("component", "src"), ["template", "src"]).withColumnRenamed("dst", "component")))
     state, changed = cut_counted(sizes.select("template", "component", F.col("size").alias("most"), F.least("size", F.lit(2)).alias("least")))
     while changed:
         step = state.withColumn("was", F.struct("most", "least"))

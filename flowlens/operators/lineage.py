@@ -9,7 +9,7 @@ from flowlens import vocab as V
 from flowlens.functions.sqltext import not_a_table, sql_reads, sql_snippets, sql_writes
 from flowlens.functions.text import has_any
 from flowlens.operators import graph
-from flowlens.session import cut
+from flowlens.session import cut, off_driver
 
 KEY = ["template", "processor_id"]
 NONE = "array<string>"
@@ -166,8 +166,8 @@ def inter_edges(sets: DataFrame, connections: DataFrame) -> DataFrame:
     )
     edges = graph.edges_of(connections, skip_unknown=True).select("template", "src", "dst").distinct()
     return (
-        edges.join(ups, ["template", "src"])
-        .join(downs, ["template", "dst"])
+        edges.join(off_driver(ups), ["template", "src"])
+        .join(off_driver(downs), ["template", "dst"])
         .select("template", "src", "dst", F.explode(F.array_intersect("up_writes", "reads")).alias("x"), "writes")
         .select("template", "src", "dst", "x", F.explode("writes").alias("w"))
         .filter("x <> w")

@@ -80,6 +80,12 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_counted(df)[0]
 
 
+def off_driver(df: DataFrame) -> DataFrame:
+    """The rows, shuffled by the join they take part in. A table that grows with the input would go through the driver in every
+    round of an iteration, as long as it is just small enough for a broadcast."""
+    return df.hint("merge")
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt over three partitions a core by their keys."""
     return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys)

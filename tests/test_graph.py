@@ -124,6 +124,12 @@ def test_longest_paths_match_depth_first(spark, make_connections):
     assert {(r["template"], tuple(r["path"])) for r in graph.longest_paths(edges).collect()} == want
 
 
+def test_tables_that_grow_stay_off_the_driver(spark, make_connections):
+    edges = graph.edges_of(make_connections([("t", "a", "b"), ("t", "b", "c"), ("u", "p", "q"), ("u", "q", "p")]))
+    for rows in (graph.components(edges), graph._path_bounds(edges.select("template", "src", "dst"), 4), graph.longest_paths(edges)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def ladder(rungs):
     """Two ways from each rung to the next: 2 ** rungs paths."""
     return [("t", a, b) for i in range(rungs) for a, b in
