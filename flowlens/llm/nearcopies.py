@@ -103,15 +103,18 @@ def _met(nodes: DataFrame, leaf: int) -> DataFrame:
     turns = ", ".join(f"struct(word * {blocks} + {r} AS turn, {f'shiftleft(value, {r * BLOCK}) | shiftrightunsigned(value, {BITS - r * BLOCK})' if r else 'value'} AS turned)"
                       for r in range(blocks))
     turned = firsts.selectExpr("key", f"explode(array({turns})) AS x").select("key", "x.turn", "x.turned")
-    starts = turned.groupBy("turn", _prefix(BLOCK).alias("a")).agg(F.count("*").alias("n")).where("n > 1")
-    pairs, hot = cut_counted(starts.selectExpr("turn", f"{BLOCK} AS depth", "a", "a AS b", "0 AS used", "n", "n AS m"), f"n > {leaf}")
-    depth, found = BLOCK, same
-    while True:
-        found = found.union(_leaf_pairs(pairs.where(f"n <= {leaf} AND m <= {leaf}"), turned, depth, leaf))
-        if not hot or depth >= BITS:
-            return found
+    starts = turned.groupBy("turn", _prefix(BLOCK).alias("a")).agg(F.count("*").alias("n")).where(f"n > {leaf}")
+    pairs, hot = cut_counted(starts.selectExpr("turn", f"{BLOCK} AS depth", "a", "a AS b", "0 AS used", "n", "n AS m"))
+    own = turned.select("key", "turn", "turned", _prefix(BLOCK).alias("a"))  # every row is in one node, with itself as its pair
+    if hot:
+        own = own.join(pairs, ["turn", "a"], "left_anti")
+    n = int(turned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    depth, found = BLOCK, same.union(_walked(own.repartition(n, "turn", "a").selectExpr("*", "a AS b", "0 AS side"), leaf))
+    while hot and depth < BITS:
         pairs, hot = cut_counted(_split(pairs.where(f"n > {leaf} OR m > {leaf}"), turned, depth, BUDGET), f"n > {leaf} OR m > {leaf}")
         depth += min(4, BITS - depth)
+        found = found.union(_leaf_pairs(pairs.where(f"n <= {leaf} AND m <= {leaf}"), turned, depth, leaf))
+    return found
 
 
 def _leaf_pairs(pairs: DataFrame, turned: DataFrame, depth: int, leaf: int) -> DataFrame:
@@ -120,6 +123,11 @@ def _leaf_pairs(pairs: DataFrame, turned: DataFrame, depth: int, leaf: int) -> D
         named.where("a <> b").selectExpr("turn", "a", "b", "b AS node", "1 AS side"))
     rows = turned.select("key", "turn", "turned", _prefix(depth).alias("node")).join(sides, ["turn", "node"])
     n = int(turned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _walked(rows.repartition(n, "turn", "a", "b"), leaf)
+
+
+def _walked(rows: DataFrame, leaf: int) -> DataFrame:
+    """Links (u, v) in the pairs of nodes (turn, a, b), each of which one partition holds: (key, turn, turned, a, b, side)."""
 
     def flush(held):
         turn, a, b, side, value, key = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -151,7 +159,7 @@ def _leaf_pairs(pairs: DataFrame, turned: DataFrame, depth: int, leaf: int) -> D
         if held:
             yield flush(held)
 
-    return rows.repartition(n, "turn", "a", "b").sortWithinPartitions("turn", "a", "b", "side", "turned").mapInArrow(walk, "u long, v long")
+    return rows.sortWithinPartitions("turn", "a", "b", "side", "turned").mapInArrow(walk, "u long, v long")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:

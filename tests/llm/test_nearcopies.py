@@ -59,6 +59,18 @@ def test_keep_one_of_groups_of_near_copies(spark, leaf):
     assert len(kept) - len(least) <= 0.02 * len(texts)
 
 
+def test_small_nodes_take_no_join(spark):
+    """A row is in one node of each trie, so nodes need no join to find their rows."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(-(1 << 63), 1 << 63, (300, nearcopies.WORDS))
+    words[1] = words[0]
+    words[1, 0] ^= 1
+    nodes = spark.createDataFrame([(i, [int(x) for x in w]) for i, w in enumerate(words)], "set_key long, words array<long>")
+    met = nearcopies._met(nodes, 1024)
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # equal fingerprints
+    assert {tuple(sorted(r)) for r in met.collect()} == {(0, 1)}
+
+
 def test_spanning_forest():
     rng = np.random.default_rng(1)
     u, v = np.triu_indices(40, 1)
