@@ -71,7 +71,8 @@ def hop_table(edges: DataFrame, stride: int) -> DataFrame:
     reach = cut(edges.select("template", "src", "dst").distinct().withColumn("hops", F.lit(1)))
     width = 1
     while width < stride:
-        l, r = reach.alias("l"), reach.alias("r")
+        # the shortest way to a node farther off has a node that is ``width`` hops from its start
+        l, r = reach.filter(F.col("hops") == width).alias("l"), reach.alias("r")
         longer = l.join(
             r, (F.col("l.template") == F.col("r.template")) & (F.col("l.dst") == F.col("r.src"))
         ).select("l.template", "l.src", "r.dst", (F.col("l.hops") + F.col("r.hops")).alias("hops"))
@@ -85,7 +86,7 @@ def spread(
 ) -> DataFrame:
     """Spread labels downstream: (template, label, node, hops) with the shortest hop count, seeds at 0.
 
-    Semi-naive: a round joins only the rows first found in the previous round, with the pairs of up
+    Semi-naive: a round joins only the farthest rows found in the previous round, with the pairs of up
     to ``stride`` hops, so a graph of depth d takes d / stride rounds. The work is bounded by
     labels x nodes actually reached.
     """
@@ -93,7 +94,7 @@ def spread(
     frontier = cut(seeds.select("template", label, "node").distinct().withColumn("hops", F.lit(0)))
     found, covered = [frontier], 0
     while max_hops is None or covered < max_hops:
-        step = frontier.join(
+        step = frontier.filter(F.col("hops") == covered).join(
             near.select("template", F.col("src").alias("node"), "dst", F.col("hops").alias("more")), ["template", "node"]
         ).select("template", label, F.col("dst").alias("node"), (F.col("hops") + F.col("more")).alias("hops"))
         if max_hops is not None:

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -124,6 +125,18 @@ def test_longest_paths_match_depth_first(spark, make_connections):
     assert {(r["template"], tuple(r["path"])) for r in graph.longest_paths(edges).collect()} == want
 
 
+def test_only_the_farthest_pairs_are_made_longer(spark, make_connections, monkeypatch):
+    seen = []
+    plain = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    rows = [("t", f"n{i}", f"n{i + d}") for i in range(20) for d in (1, 5)]
+    near = graph.hop_table(graph.edges_of(make_connections(rows)), 8)
+    assert all(re.search(rf"hops#\d+ = {width}\)", seen[-1]) for width in (1, 2, 4))
+    want = {(f"n{a}", f"n{a + d}"): d // 5 + d % 5 for a in range(20) for d in range(1, 25) if a + d < 25 and d // 5 + d % 5 <= 8}
+    got = {(r["src"], r["dst"]): r["hops"] for r in near.collect()}
+    assert {k: v for k, v in got.items() if int(k[1][1:]) < 20} == {k: v for k, v in want.items() if int(k[1][1:]) < 20}
+
+
 def test_tables_that_grow_stay_off_the_driver(spark, make_connections):
     edges = graph.edges_of(make_connections([("t", "a", "b"), ("t", "b", "c"), ("u", "p", "q"), ("u", "q", "p")]))
     for rows in (graph.components(edges), graph._path_bounds(edges.select("template", "src", "dst"), 4), graph.longest_paths(edges)):
