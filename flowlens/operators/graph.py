@@ -7,6 +7,7 @@ first composed up to ``stride`` hops, which divides the number of rounds (and Sp
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -150,6 +151,34 @@ def _lazy(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.select(*keys, F.explode(both).alias("e")).select(*keys, "e.*").distinct()
 
 
+#: Beyond any count that a long can hold; ways to nodes that don't matter in the end may be more than that.
+MANY = Decimal(10**19)
+
+
+def walks(edges: DataFrame, seeds: DataFrame, keys: list[str], stride: int = 4) -> DataFrame:
+    """(keys, node, hops, n): how many walks of so many edges lead from the seeds (keys, node) to a node, ``MANY`` at most.
+
+    ``edges`` (``src``, ``dst``, ``times``, some or all of ``keys``) have no cycle. Each round takes the walks of the last length
+    ``stride`` edges on; the edges are shuffled once a round, whatever their size, and what is counted once an edge.
+    """
+    on = [k for k in keys if k in edges.columns]
+    count = lambda c: F.least(c, F.lit(MANY)).cast("decimal(20,0)").alias("n")
+    ends = "src IS NOT NULL AND dst IS NOT NULL"  # said once for all: a shuffle is only used again by an equal plan
+    arcs = off_driver(edges.filter(ends).select(*on, F.col("src").alias("node"), "dst", "times"))
+    frontier, left = cut_counted(seeds.select(*keys, "node").distinct().select("*", F.lit(0).alias("hops"), count(F.lit(1))))
+    found, covered = [frontier], 0
+    while left:
+        steps = [frontier]
+        for _ in range(stride):
+            step = steps[-1].join(arcs, [*on, "node"]).select(*keys, F.col("dst").alias("node"), "hops", (F.col("n") * F.col("times")).alias("n"))
+            steps.append(step.repartition(*on, "node").groupBy(*keys, "node").agg((F.first("hops") + 1).alias("hops"), count(F.sum("n"))))
+        covered += stride
+        rows, left = cut_counted(union_all(steps[1:]), f"hops = {covered}")
+        found.append(rows)
+        frontier = rows.filter(F.col("hops") == covered)
+    return union_all(found)
+
+
 # --- strongly connected components ---------------------------------------------------------
 
 #: Random orders of the nodes that are used at once.

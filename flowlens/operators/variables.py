@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from flowlens import vocab as V
 from flowlens.functions.text import el_bodies, el_key, has_any, strip
-from flowlens.operators.graph import flattened_edges, reached, simple_paths
-from flowlens.session import cut
+from flowlens.operators.graph import components, flattened_edges, reached, simple_paths, walks
+from flowlens.session import cut, cut_counted, off_driver
 
 
 def properties(processors: DataFrame) -> DataFrame:
@@ -113,6 +113,10 @@ def details(defs: DataFrame, uses: DataFrame) -> DataFrame:
     return d.unionByName(u)
 
 
+#: Variables are followed within a template and apart from each other.
+KEYS = ["template", "variable"]
+
+
 def flows(
     processors: DataFrame, connections: DataFrame, through: str = "ports", max_nodes: int | None = None, stride: int = 4
 ) -> DataFrame:
@@ -122,25 +126,63 @@ def flows(
     reach, then of these the ones that reach a user. Without cycles every path walked so is the beginning
     of a row of the result.
     """
-    keys = ["template", "variable"]
-    at = lambda rows: rows.select(*keys, F.col("processor_id").alias("node")).distinct()
+    return _flows(*_flow_graph(processors, connections, through), max_nodes, stride)
+
+
+def _flow_graph(processors: DataFrame, connections: DataFrame, through: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges between processors; definers and users (template, variable, node) of variables that have both."""
+    at = lambda rows: rows.select(*KEYS, F.col("processor_id").alias("node")).distinct()
     set_by, ends = cut(at(definitions(processors))), at(usages(processors))
-    ends = cut(ends.join(set_by, keys, "left_semi"))
-    starts = set_by.join(ends, keys, "left_semi")
-    edges = cut(flattened_edges(connections, processors, through).select("template", "src", "dst", "relationships"))
-    ahead = reached(edges, starts, keys)
+    ends = cut(ends.join(set_by, KEYS, "left_semi"))
+    starts = set_by.join(ends, KEYS, "left_semi")
+    return cut(flattened_edges(connections, processors, through).select("template", "src", "dst", "relationships")), starts, ends
+
+
+def _flows(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_nodes: int | None, stride: int) -> DataFrame:
+    ahead = reached(edges, starts, KEYS)
     onward = cut(edges.join(ahead.withColumnRenamed("node", "src"), ["template", "src"]))
-    back = onward.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    live = reached(back, ends, keys)
-    useful = onward.join(live.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi")
-    begin = starts.join(live, [*keys, "node"], "left_semi").withColumnRenamed("node", "start")
-    paths = simple_paths(useful, begin, max_nodes, stride, keys)
-    return paths.join(ends.withColumnRenamed("node", "last"), [*keys, "last"], "left_semi").select(
+    back = onward.select(*KEYS, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    live = reached(back, ends, KEYS)
+    useful = onward.join(live.withColumnRenamed("node", "dst"), [*KEYS, "dst"], "left_semi")
+    begin = starts.join(live, [*KEYS, "node"], "left_semi").withColumnRenamed("node", "start")
+    paths = simple_paths(useful, begin, max_nodes, stride, KEYS)
+    return paths.join(ends.withColumnRenamed("node", "last"), [*KEYS, "last"], "left_semi").select(
         "template", "variable", "start", "last", F.col("path").alias("flow_chain"),
         F.col("rels").alias("relationships"), F.size("path").alias("chain_length"),
     )
 
 
+def flow_hops(processors: DataFrame, connections: DataFrame, through: str = "ports", stride: int = 4) -> DataFrame:
+    """(template, variable, from_processor, to_processor, n, first_hop, relationships): how many flows pass a hop, the earliest
+    place it has in one, and the relationships of one.
+
+    In a template without cycles every walk is a simple path, so the flows through a hop are the walks from definers to it
+    times those from it to users, and none is written out. Templates with a cycle have their flows listed.
+    """
+    edges, starts, ends = _flow_graph(processors, connections, through)
+    cyclic, n = cut_counted(components(edges, stride).select("template").distinct())
+    if n == 0:
+        return _counted_hops(edges, starts, ends, stride)
+    some = lambda how: [rows.join(cyclic, "template", how) for rows in (edges, starts, ends)]
+    listed = hop_pairs(_flows(*some("left_semi"), None, stride)).groupBy(*KEYS, "from_processor", "to_processor").agg(
+        F.count("*").alias("n"), F.min("hop").alias("first_hop"), F.min(F.array_join("relationships", ",")).alias("relationships"))
+    return _counted_hops(*some("left_anti"), stride).unionByName(listed)
+
+
+def _counted_hops(edges: DataFrame, starts: DataFrame, ends: DataFrame, stride: int) -> DataFrame:
+    arcs = cut(edges.filter("src <> dst").groupBy("template", "src", "dst").agg(
+        F.count("*").alias("times"), F.min(F.array_join("relationships", ",")).alias("relationships")))
+    ahead = walks(arcs, starts, KEYS, stride).groupBy(*KEYS, F.col("node").alias("src")).agg(
+        F.sum("n").alias("before"), (F.min("hops") + 1).alias("first_hop"))
+    onward = cut(ahead.join(off_driver(arcs), ["template", "src"]))
+    back = onward.select(*KEYS, F.col("dst").alias("src"), F.col("src").alias("dst"), "times")
+    after = walks(back, ends, KEYS, stride).groupBy(*KEYS, F.col("node").alias("dst")).agg(F.sum("n").alias("after"))
+    return onward.join(off_driver(after), [*KEYS, "dst"]).select(
+        *KEYS, F.col("src").alias("from_processor"), F.col("dst").alias("to_processor"),
+        (F.col("before") * F.col("times") * F.col("after")).cast("long").alias("n"), "first_hop", "relationships",
+    )
+
+
 def hop_pairs(flow_rows: DataFrame) -> DataFrame:
     """Consecutive node pairs of each flow with the relationships of that hop."""
     hops = F.sequence(F.lit(1), F.col("chain_length") - 1)

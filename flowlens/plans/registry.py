@@ -293,8 +293,7 @@ def variable_flow_paths(spark, sf):
 
 @query
 def variable_flow_hops(spark, sf):
-    return variables.hop_pairs(variables.flows(procs(spark, sf), conns(spark, sf))).groupBy("template", "variable", "from_processor", "to_processor").agg(
-        F.count("*").alias("n"), F.min("hop").alias("first_hop"), F.first(F.array_join("relationships", ",")).alias("relationships"))
+    return variables.flow_hops(procs(spark, sf), conns(spark, sf))
 
 
 # --- scripts and text ------------------------------------------------------------------------

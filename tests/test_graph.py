@@ -273,6 +273,50 @@ def test_flows_include_the_definer_and_split_parallel_edges(spark, make_connecti
     assert {(r["from_processor"], r["to_processor"], tuple(r["relationships"])) for r in hops} == {("a", "b", ("success",))}
 
 
+def _hops(rows):
+    return {tuple(r[c] for c in ("template", "variable", "from_processor", "to_processor", "n", "first_hop", "relationships")) for r in rows.collect()}
+
+
+def _listed_hops(processors, connections):
+    return _hops(variables.hop_pairs(variables.flows(processors, connections)).groupBy("template", "variable", "from_processor", "to_processor").agg(
+        F.count("*").alias("n"), F.min("hop").alias("first_hop"), F.min(F.array_join("relationships", ",")).alias("relationships")))
+
+
+def test_hops_are_counted_without_their_flows(spark, make_connections, make_processors):
+    """20 ** 7 flows, which can't be listed; more ways than a long can hold lead on from their user, to nowhere."""
+    layer = lambda i: ["s"] if i == 0 else [f"{i}_{k}" for k in range(20)]
+    edges = [("t", a, b) for i in range(16) for a in layer(i) for b in layer(i + 1)]
+    p = make_processors([("t", "s", "s", "UpdateAttribute", "Root", {"v": "1"})] + [
+        ("t", x, x, "X", "Root", {"q": "${v}"} if x == "8_0" else {}) for i in range(1, 17) for x in layer(i)])
+    got = _hops(variables.flow_hops(p, make_connections(edges)))
+    assert got == {("t", "v", a, b, 20 ** (5 if 0 < i < 7 else 6), i + 1, "success")
+                   for i in range(8) for a in layer(i) for b in layer(i + 1) if i < 7 or b == "8_0"}
+
+
+def test_hops_match_listed_flows(spark, make_connections, make_processors):
+    """Templates without and with cycles, parallel connections, loops of a node on itself."""
+    processors, connections = [], []
+    for seed in range(4):
+        nodes, edges = random_graph(seed, n=9, m=14, acyclic=seed % 2 == 0)
+        for i, x in enumerate(nodes):
+            props = ({"v": "1", "w": "2"} if i < 2 else {"w": "3"} if i == 3 else {}) | ({"q": "${v} ${w}"} if i in (1, 4, 6, 8) else {})
+            processors.append((f"t{seed}", x, x, "UpdateAttribute" if i in (0, 1, 3) else "X", "Root", props))
+        connections += [(f"t{seed}", a, b) for a, b in [*edges, edges[0], edges[0], (nodes[0], nodes[0])]]
+    p, c = make_processors(processors), make_connections(connections)
+    got = _hops(variables.flow_hops(p, c))
+    assert got == _listed_hops(p, c) and len({r[0] for r in got}) > 1 and max(r[4] for r in got) > 2
+
+
+def test_hops_of_growing_tables_stay_off_the_driver(spark, make_connections, make_processors, monkeypatch):
+    plans, plain = [], graph.cut_counted
+    monkeypatch.setattr(graph, "cut_counted", lambda df, where="true": plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, where))
+    edges = make_connections(ladder(6)).selectExpr("template", "source AS src", "destination AS dst", "1L AS times")
+    seeds = spark.createDataFrame([("t", "v", "s0")], "template string, variable string, node string")
+    got = {(r["node"], r["hops"], int(r["n"])) for r in graph.walks(edges, seeds, ["template", "variable"]).collect()}
+    assert got == {("s0", 0, 1)} | {x for i in range(6) for x in ((f"x{i}", 2 * i + 1, 2**i), (f"y{i}", 2 * i + 1, 2**i), (f"s{i + 1}", 2 * i + 2, 2 ** (i + 1)))}
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in x for x in plans)
+
+
 def test_group_paths_of_any_depth_and_of_cycles(spark):
     chain = [("t", str(i), f"n{i}", str(i - 1) if i else None) for i in range(200)]
     rows = [*chain, ("t", "x", "X", "y"), ("t", "y", "Y", "x"), ("t", "z", "Z", "z")]
