@@ -83,6 +83,15 @@ def test_text_is_read_as_often_whatever_the_number_of_shards(spark, monkeypatch)
     assert read.value == 5 * len(docs)
 
 
+def test_windows_are_at_most_one_a_word_whatever_passes(spark):
+    """So a group of copies gives as many as its words, not pairs of its rows; equal ones are one row."""
+    everything = [b"\xff" * (1 << collocations.BITMAP_BITS - 3)] * collocations.LONGEST
+    for copies in (30, 300):
+        df = spark.createDataFrame([("en", "a b c d e. f g, h")] * copies, "lang string, text string")
+        got = {(r["phrase"], r["n"]) for r in collocations.windows(df, everything).collect()}
+        assert got == {(x, copies) for x in ("a b c d", "b c d e", "c d e", "d e", "f g")}
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert _got(collocations.mine(odd_docs, least=3)) == _plain([(r["lang"], r["text"]) for r in odd_docs.collect()], 3)
     assert collocations.mine(no_docs).collect() == []
