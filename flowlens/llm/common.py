@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -35,16 +36,28 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows holding about ``size`` bytes each; a longer text is a range of its own."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > size:
+def ranges(sizes: Iterable[int], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows holding about ``size`` bytes each; a longer row is a range of its own."""
+    start = held = end = 0
+    for i, own in enumerate(sizes):
+        if held and held + own > size:
             yield start, i
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held += own
+        end = i + 1
+    if start < end:
+        yield start, end
+
+
+def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows holding about ``size`` bytes each; a longer text is a range of its own."""
+    return ranges(map(len, texts), size)
+
+
+def pieces(batch: pa.RecordBatch, size: int = CHUNK_BYTES, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of text, so that Python holds no more of it at once."""
+    for a, b in ranges(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(), size):
+        yield batch.slice(a, b - a)
 
 
 def row_numbers() -> Iterator[int]:

@@ -26,14 +26,17 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import CHUNK_BYTES, chunks, row_numbers, text_rows, texts_of
+from flowlens.llm.common import CHUNK_BYTES, pieces, row_numbers, text_rows, texts_of
 from flowlens.session import cut
 
 ORDER = 5
@@ -46,9 +49,89 @@ HEAD_WORDS, HEAD_EVENTS, HEAD_BYTES = 1 << 19, 1 << 18, 64
 HEAD_STREAM = 1 << 20
 #: Bytes of a stream looked at together, and distinct events that a task holds before it hands them on.
 STRETCH, EVENTS_AT_ONCE = 1 << 18, 2_000_000
+#: Events of the longest part that are added up with those of the others at once.
+RANGE = 1 << 14
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Distinct words that a task counts before it hands them on.
 COUNTED_AT_ONCE = 300_000
+#: Rows of a batch that a task hands on.
+ROWS = 1 << 16
+
+
+class Lookup:
+    """Places of keys in an array: one slot for each hash, that of its last key; the others by bisection."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n = len(keys)
+        self.keys = np.append(keys, np.uint64((1 << 64) - 1))
+        bits = max(1, (2 * self.n).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slot = np.full(1 << bits, self.n, np.int32)
+        self.slot[self._hash(keys)] = np.arange(self.n, dtype=np.int32)
+        rest = np.flatnonzero(self.keys[self.slot[self._hash(keys)]] != keys)
+        self.more_at = rest[np.argsort(keys[rest])]
+        self.more = keys[self.more_at]
+
+    def _hash(self, keys):
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, the array's length where it is unknown."""
+        at = self.slot[self._hash(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = self.n
+        if len(self.more):
+            more = np.minimum(np.searchsorted(self.more, keys[other]), len(self.more) - 1)
+            there = self.more[more] == keys[other]
+            at[other[there]] = self.more_at[more[there]]
+        return at
+
+
+@dataclass
+class EventHead:
+    """The most frequent events and their logp. A worker builds the lookup once, for all its tasks."""
+
+    events: np.ndarray
+    logp: np.ndarray
+
+    @cached_property
+    def lookup(self) -> Lookup:
+        return Lookup(self.events)
+
+    def of(self, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score of each event, 0 where unknown; places of the unknown ones)"""
+        at = self.lookup.places(events)
+        unknown = np.flatnonzero(at == len(self.logp))
+        at[unknown] = 0
+        score = self.logp[at] if len(self.logp) else np.zeros(len(events))
+        score[unknown] = 0
+        return score, unknown
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x) for x in words.to_pylist()), np.uint64, len(words))
+
+
+@dataclass
+class WordHead:
+    """The most frequent words, their counts and logp, as arrays: as Python objects they would take a worker some 200 MB."""
+
+    words: pa.Array
+    c: np.ndarray
+    logp: np.ndarray
+
+    @cached_property
+    def lookup(self) -> Lookup:
+        return Lookup(np.concatenate([np.empty(0, np.uint64)] + [hashes(self.words.slice(a, ROWS)) for a in range(0, len(self.words), ROWS)]))
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, -1 where it is unknown. Of words with one hash some count as unknown, which are joined."""
+        at = self.lookup.places(hashes(words))
+        found = np.flatnonzero(at < len(self.words))
+        same = pc.equal(self.words.take(pa.array(at[found])), words.take(pa.array(found))).to_numpy(zero_copy_only=False)
+        places = np.full(len(words), -1, np.int64)
+        places[found[same]] = at[found[same]]
+        return places
 
 
 @dataclass
@@ -59,9 +142,9 @@ class Model:
     words: DataFrame
     train_tokens: int
     kinds: int
-    head: dict[bytes, tuple[int, float]]
+    head: WordHead
     events: DataFrame | None = None
-    event_head: tuple[np.ndarray, np.ndarray] | None = None
+    event_head: EventHead | None = None
 
     def base_denominator(self) -> float:
         return self.train_tokens + 0.5 * (self.kinds + 1)
@@ -105,21 +188,21 @@ def stretches(streams: list[bytes], most: int = STRETCH) -> Iterator[tuple[int,
 def _count_words(rows: DataFrame) -> DataFrame:
     """(word, c): every token of all texts with its count in training texts."""
 
+    def counted(held):
+        table = pa.table({"word": pa.array(list(held), pa.binary()), "c": pa.array(list(held.values()), pa.int64())})
+        return table.to_batches(max_chunksize=ROWS)
+
     def count(batches):
         held: Counter = Counter()
         for batch in batches:
-            texts = texts_of(batch)
-            train = batch.column("train").to_pylist()
-            for a, b in chunks(texts):
-                tokens = [tokens_of(x) for x in texts[a:b]]
-                held.update(chain.from_iterable(t for t, use in zip(tokens, train[a:b], strict=True) if use))
-                for t, use in zip(tokens, train[a:b], strict=True):
-                    if not use:
-                        held.update(dict.fromkeys(t, 0))
+            for part in pieces(batch):
+                for text, use in zip(texts_of(part), part.column("train").to_pylist(), strict=True):
+                    tokens = tokens_of(text)
+                    held.update(tokens if use else dict.fromkeys(tokens, 0))
                 if len(held) > COUNTED_AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
+                    yield from counted(held)
                     held = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
+        yield from counted(held)
 
     return rows.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -139,36 +222,55 @@ def _event_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(count, "event long, c long").groupBy("event").agg(F.sum("c").alias("c"))
 
 
+def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct events of parts (events in order, counts), which are emptied, in order with their sums.
+
+    Ranges of events are taken one by one, so that no order of all of them is held beside them.
+    """
+    longest = max((e for e, _ in parts), key=len)
+    bounds = [0, *longest[RANGE::RANGE], None]
+    cuts = [[0, *np.searchsorted(e, np.array(bounds[1:-1], np.uint64)), len(e)] for e, _ in parts]
+    done = []
+    for k in range(len(bounds) - 1):
+        events = np.concatenate([e[at[k] : at[k + 1]] for (e, _), at in zip(parts, cuts, strict=True)])
+        c = np.concatenate([c[at[k] : at[k + 1]] for (_, c), at in zip(parts, cuts, strict=True)])
+        order = np.argsort(events, kind="stable")
+        events = events[order]
+        first = np.flatnonzero(np.append(True, events[1:] != events[:-1]))
+        done.append((events[first], np.add.reduceat(c[order], first)))
+    parts.clear()
+    return np.concatenate([e for e, _ in done]), np.concatenate([c for _, c in done])
+
+
 def _stream_counts(rows: DataFrame) -> DataFrame:
     """(event, c): every event of all texts' streams with its count in training texts, summed up in the task first."""
 
-    def summed(parts):
-        kinds, at = np.unique(np.concatenate([e for e, _ in parts]), return_inverse=True)
-        return kinds, np.bincount(at, np.concatenate([c for _, c in parts]), len(kinds)).astype(np.int64)
-
-    def batch_of(kinds, c):
-        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(c)], ["event", "c"])
+    def counted(held):
+        """Batches of the events held, which are let go meanwhile."""
+        table = pa.table([pa.array(x.view(np.int64)) for x in held.pop()], ["event", "c"])
+        return table.to_batches(max_chunksize=ROWS)
 
     def count(batches):
         held, size = [], 0
         for batch in batches:
-            texts, train = texts_of(batch), batch.column("train").to_pylist()
-            for a, b in chunks(texts):
+            for part in pieces(batch):
+                texts, train = texts_of(part), part.column("train").to_pylist()
                 for use in (True, False):
-                    streams = [CLOSE.join(tokens_of(x)) for x, t in zip(texts[a:b], train[a:b], strict=True) if t == use]
+                    streams = [CLOSE.join(tokens_of(x)) for x, t in zip(texts, train, strict=True) if t == use]
                     for _, _, events in stretches(streams):
                         events.sort()
                         first = np.flatnonzero(np.append(True, events[1:] != events[:-1]))
                         held.append((events[first], np.diff(np.append(first, len(events))) * use))
                         size += len(first)
                         if size > EVENTS_AT_ONCE:
-                            held = [summed(held)]
+                            held = [add_up(held)]
                             size = len(held[0][0])
                             if size > EVENTS_AT_ONCE // 2:
-                                yield batch_of(*held[0])
-                                held, size = [], 0
+                                yield from counted(held)
+                                size = 0
         if held:
-            yield batch_of(*summed(held))
+            held = [add_up(held)]
+            yield from counted(held)
 
     return rows.mapInArrow(count, "event long, c long").groupBy("event").agg(F.sum("c").alias("c"))
 
@@ -229,8 +331,8 @@ def _scored_events(events: DataFrame) -> DataFrame:
         if held:
             table = pa.Table.from_batches(held)
             event, c = table.column("event").to_numpy(), table.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(event), pa.array(c), pa.array(event_scores(event.astype(np.uint64), c, pairs))], ["event", "c", "logp"])
+            logp = event_scores(event.view(np.uint64), c, pairs)
+            yield from pa.table([pa.array(event), pa.array(c), pa.array(logp)], ["event", "c", "logp"]).to_batches(max_chunksize=ROWS)
 
     return events.repartition(n, F.expr("shiftright(event, 8) & 65535")).mapInArrow(score, "event long, c long, logp double")
 
@@ -278,36 +380,6 @@ def _word_scores(words: DataFrame, events: DataFrame) -> DataFrame:
     return scored.join(rest, "row", "left").select("word", "c", (F.col("logp") + F.coalesce("more", F.lit(0.0))).alias("logp"))
 
 
-class Lookup:
-    """Scores of events: one slot for each hash, that of its last event; the others by bisection."""
-
-    def __init__(self, events: np.ndarray, logp: np.ndarray):
-        self.events, self.logp = (np.append(x, y) for x, y in ((events, np.uint64((1 << 64) - 1)), (logp, 0.0)))
-        bits = max(1, (2 * len(events)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.slot = np.full(1 << bits, len(events), np.int32)
-        self.slot[self._hash(events)] = np.arange(len(events))
-        rest = np.flatnonzero(self.events[self.slot[self._hash(events)]] != events)
-        rest = rest[np.argsort(events[rest])]
-        self.more, self.more_logp = events[rest], logp[rest]
-
-    def _hash(self, events):
-        return (events * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def of(self, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(score of each event, 0 where unknown; places of the unknown ones)"""
-        at = self.slot[self._hash(events)]
-        score = self.logp[at]
-        other = np.flatnonzero(self.events[at] != events)
-        score[other] = 0
-        if len(self.more):
-            at = np.minimum(np.searchsorted(self.more, events[other]), len(self.more) - 1)
-            there = self.more[at] == events[other]
-            score[other[there]] = self.more_logp[at[there]]
-            other = other[~there]
-        return score, other
-
-
 def in_training(doc_id) -> F.Column:
     """A row without an id is a training row."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 5 != 1
@@ -320,13 +392,13 @@ def train(rows: DataFrame, across: bool = False) -> Model:
     scored = words.withColumn("logp", F.lit(0.0)) if across else cut(_word_scores(words, events))
     totals = scored.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     head = _head(scored, HEAD_WORDS).where(F.length("word") <= HEAD_BYTES).toArrow()
-    columns = (head.column(c).to_pylist() for c in ("word", "c", "logp"))
-    model = Model(scored, totals["n"], totals["v"], {w: (c, p) for w, c, p in zip(*columns, strict=True)})
+    word, c, logp = (head.column(x).combine_chunks() for x in ("word", "c", "logp"))
+    model = Model(scored, totals["n"], totals["v"], WordHead(word, c.to_numpy(), logp.to_numpy()))
     if across:
         head = _head(events, HEAD_STREAM).toArrow()
         event, c, logp = (head.column(x).to_numpy() for x in ("event", "c", "logp"))
         order = np.argsort(c)
-        model.events, model.event_head = events, (event[order].astype(np.uint64), logp[order])
+        model.events, model.event_head = events, EventHead(event[order].astype(np.uint64), logp[order])
     return model
 
 
@@ -334,47 +406,49 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, base_score, score) of (doc_id, text, train) rows whose words (events) the model has."""
     below = model.base_denominator()
     spark = rows.sparkSession
-    words = {w: (c > 0, float(np.log10((c + 0.5) / below)), p) for w, (c, p) in model.head.items()}
-    head, event_head = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(model.event_head)
-
-    def of_streams(tokens, lookup):
-        """Score of each text's stream, and its events that are not in the lookup."""
-        own, far = np.zeros(len(tokens)), [[] for _ in tokens]
-        for first, starts, events in stretches([CLOSE.join(t) for t in tokens]):
-            score, unknown = lookup.of(events)
+    head, event_head = spark.sparkContext.broadcast(model.head), spark.sparkContext.broadcast(model.event_head)
+
+    def of_words(tokens, known):
+        """(known, base score, score) summed up over each text's tokens, and its (word, times) that are not in the head."""
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        starts = np.cumsum(sizes) - sizes
+        coded = pa.array(list(chain.from_iterable(tokens)), pa.binary()).dictionary_encode()
+        number, distinct = coded.indices.to_numpy(), coded.dictionary
+        place = known.places(distinct)
+        of_word = np.zeros((3, len(distinct)))
+        there = np.flatnonzero(place >= 0)
+        c = known.c[place[there]]
+        of_word[:, there] = c > 0, np.log10((c + 0.5) / below), known.logp[place[there]]
+        sums = [np.add.reduceat(x[number], starts) for x in of_word]
+        far = np.flatnonzero(place[number] < 0)
+        kinds, times = np.unique((np.searchsorted(starts, far, "right") - 1) * len(distinct) + number[far], return_counts=True)
+        bounds = np.searchsorted(kinds, np.arange(len(tokens) + 1) * len(distinct))
+        rest = pa.StructArray.from_arrays([distinct.take(pa.array(kinds % len(distinct))), pa.array(times.astype(np.int32))], ["word", "times"])
+        return *sums, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rest)
+
+    def of_streams(tokens, known):
+        """Score of each text's stream, and its events that are not in the head."""
+        own, texts, far = np.zeros(len(tokens)), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for first, starts, events in stretches([CLOSE.join(t) for t in tokens]) if known else ():
+            score, unknown = known.of(events)
             own[first : first + len(starts)] += np.add.reduceat(score, starts)
-            for i, event in zip((first + np.searchsorted(starts, unknown, "right") - 1).tolist(), events[unknown].tolist(), strict=True):
-                far[i].append(event)
-        return own.tolist(), far
+            texts.append(first + np.searchsorted(starts, unknown, "right") - 1)
+            far.append(events[unknown])
+        bounds = np.searchsorted(np.concatenate(texts), np.arange(len(tokens) + 1))
+        return own, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(far).view(np.int64)))
 
     def add(batches):
         number = row_numbers()
-        known = head.value
-        none = (False, 0.0, 0.0)
-        lookup = Lookup(*event_head.value) if event_head.value else None
         for batch in batches:
-            out, rest, bounds, far = [], [], [0], []
-            texts = texts_of(batch)
-            for a, b in chunks(texts, CHUNK_BYTES // 4):
-                cut_up = [tokens_of(x) for x in texts[a:b]]
-                owns, unknown = of_streams(cut_up, lookup) if lookup else ([0.0] * (b - a), [[]] * (b - a))
-                far += unknown
-                for tokens, stream in zip(cut_up, owns, strict=True):
-                    found = [known.get(t, none) for t in tokens]
-                    seen, base, own = map(sum, zip(*found, strict=True))
-                    tail = Counter([t for t, f in zip(tokens, found, strict=True) if f is none])
-                    rest += tail.items()
-                    bounds.append(len(rest))
-                    out.append((next(number), len(tokens), seen, base, own + stream))
-            names = ["row", "n_tokens", "n_known", "base_score", "score"]
-            types = [pa.int64()] * 3 + [pa.float64()] * 2
-            inner = pa.StructArray.from_arrays([pa.array([w for w, _ in rest], pa.binary()), pa.array([n for _, n in rest], pa.int32())],
-                                               ["word", "times"])
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("train"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)),
-                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), inner), pa.array(far, pa.list_(pa.int64()))],
-                ["doc_id", "train", *names, "rest", "far"])
+            for part in pieces(batch, CHUNK_BYTES // 4):
+                tokens = [tokens_of(x) for x in texts_of(part)]
+                seen, base, own, rest = of_words(tokens, head.value)
+                stream, far = of_streams(tokens, event_head.value)
+                columns = {
+                    "doc_id": part.column("doc_id"), "train": part.column("train"), "row": pa.array([next(number) for _ in tokens], pa.int64()),
+                    "n_tokens": pa.array([len(t) for t in tokens], pa.int64()), "n_known": pa.array(seen.astype(np.int64)),
+                    "base_score": pa.array(base), "score": pa.array(own + stream), "rest": rest, "far": far}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     partial = cut(rows.select("doc_id", "text", "train").mapInArrow(
         add, "doc_id long, train boolean, row long, n_tokens long, n_known long, base_score double, score double, "
